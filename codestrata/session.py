@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,3 +64,20 @@ class Stage:
             jvm = self.spark._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes the package importable in the executors' Python, as --py-files would; once per Spark context.
+
+    Only code travels this way, served by the driver; no data does.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_codestrata_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="codestrata-")) / "codestrata.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._codestrata_shipped = True

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codestrata.session import ship
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One table of a graph folder."""
@@ -84,6 +86,7 @@ class Graph:
     """The tables of one folder and the views the operators share."""
 
     def __init__(self, spark: SparkSession, folder: str):
+        ship(spark)
         self.spark = spark
         names = ("files", "functions", "classes", "call_edges", "imports", "file_hashes", "file_contents")
         for name in names:
