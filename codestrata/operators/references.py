@@ -242,5 +242,5 @@ def orphan_report(orphans: DataFrame, table: str) -> DataFrame:
     """Orphans per table, field and week."""
     return (
         orphans.groupBy("ref_field", "period").agg(F.count(F.lit(1)).alias("orphans"))
-        .select(F.lit(table).alias("table_name"), "ref_field", "period", "orphans")
+        .select(F.lit(table).alias("table_name"), "ref_field", F.col("period").cast("string").alias("period"), "orphans")
     )

@@ -1,0 +1,88 @@
+"""Functions, classes, calls and imports of Python sources; source trees as tables of contents."""
+
+from __future__ import annotations
+
+import ast
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Directories that are not entered, and extensions that are read.
+SKIPPED_DIRECTORIES = ("node_modules", ".git", "__pycache__", "venv", ".venv", "dist", "build", "target", ".idea", ".vscode")
+EXTENSIONS = ("py", "java", "js", "jsx", "ts", "tsx", "vue", "go", "c", "h", "cpp", "hpp", "cc", "cxx", "rs", "cs")
+
+FACTS = "file_id long, kind string, qualified_name string, start_line int, end_line int, detail string"
+
+
+def source_tree(spark: SparkSession, root: str) -> DataFrame:
+    """path, content and sha1 of the source files below ``root``."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    parts = F.split("path", "/")
+    wanted = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).isin(*EXTENSIONS)
+    skipped = F.arrays_overlap(parts, F.array(*[F.lit(d) for d in SKIPPED_DIRECTORIES]))
+    return files.where(wanted & ~skipped).select("path", F.col("content").cast("string").alias("content"), F.sha1("content").alias("sha1"))
+
+
+def vue_script(content) -> F.Column:
+    """The body of the first script element."""
+    return F.trim(F.regexp_extract(content, r"(?s)<script\b[^>]*>(.*?)</script>", 1))
+
+
+def _calls(node: ast.AST) -> Iterator[ast.Call]:
+    """Calls of a function body, without those of functions nested in it."""
+    waiting = list(ast.iter_child_nodes(node))
+    while waiting:
+        at = waiting.pop(0)
+        if isinstance(at, ast.Call):
+            yield at
+        if not isinstance(at, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+            waiting += ast.iter_child_nodes(at)
+
+
+def python_facts(source: str) -> list[tuple[str, str, int, int, str | None]]:
+    """(kind, qualified_name, start_line, end_line, detail) of a module; one ``error`` row if it does not parse.
+
+    Functions and classes of the module and methods of its classes count,
+    decorated ones too. detail is the base classes, the callee or the imported names.
+    """
+    try:
+        tree = ast.parse(source.removeprefix("﻿"))
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+        return [("error", "", getattr(e, "lineno", None) or 0, 0, str(e)[:200])]
+    rows: list[tuple[str, str, int, int, str | None]] = []
+
+    def function(node, owner: str | None):
+        name = f"{owner}.{node.name}" if owner else node.name
+        rows.append(("method" if owner else "function", name, node.lineno, node.end_lineno, None))
+        for call in _calls(ast.Module(body=node.body, type_ignores=[])):
+            rows.append(("call", name, call.lineno, call.lineno, ast.unparse(call.func)))
+
+    for node in tree.body:
+        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
+            function(node, None)
+        elif isinstance(node, ast.ClassDef):
+            rows.append(("class", node.name, node.lineno, node.end_lineno, ",".join(map(ast.unparse, node.bases))))
+            for member in node.body:
+                if isinstance(member, (ast.FunctionDef, ast.AsyncFunctionDef)):
+                    function(member, node.name)
+        elif isinstance(node, ast.Import):
+            rows += [("import", a.name, node.lineno, node.lineno, None) for a in node.names]
+        elif isinstance(node, ast.ImportFrom):
+            rows.append(("import", "." * node.level + (node.module or ""), node.lineno, node.lineno, ",".join(a.name for a in node.names)))
+    return rows
+
+
+def _facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = [(i, *f) for i, c in zip(pdf["file_id"], pdf["content"]) for f in python_facts(c)]
+        yield pd.DataFrame(rows, columns=["file_id", "kind", "qualified_name", "start_line", "end_line", "detail"]).astype(
+            {"file_id": "int64", "start_line": "int32", "end_line": "int32"})
+
+
+def parse_python(files: DataFrame, contents: DataFrame) -> DataFrame:
+    """The facts of every Python file with content; files that don't parse give an ``error`` row."""
+    python = files.where(F.lower("path").endswith(".py")).select("file_id")
+    newest = contents.where("content is not null").groupBy("file_id").agg(F.max_by("content", F.struct("loaded_at", F.xxhash64("content"))).alias("content"))
+    return newest.join(python, "file_id").select("file_id", "content").mapInPandas(_facts, FACTS)
