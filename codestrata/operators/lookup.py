@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codestrata.functions.names import refers, simple_name, spaced
@@ -74,12 +74,10 @@ def structure_by_file(files: DataFrame, functions: DataFrame, hint: str) -> Data
     The key is the base name, ``parent/name`` for the second file of that name,
     and the whole path from the third on (by file_id).
     """
-    from pyspark.sql import Window
-
     parts = F.split("path", "/")
     name = F.element_at(parts, -1)
     at = F.row_number().over(Window.partitionBy("name_").orderBy("file_id"))
-    keyed = files.where(_like(F.col("path"), hint)).withColumn("name_", name).withColumn("at", at)
+    keyed = files.select("file_id", "path").where(_like(F.col("path"), hint)).withColumn("name_", name).withColumn("at", at)
     key = F.when(F.col("at") == 1, F.col("name_")).when(
         (F.col("at") == 2) & (F.size(parts) > 1), F.concat_ws("/", F.element_at(parts, -2), F.col("name_"))
     ).otherwise(F.col("path"))
