@@ -121,7 +121,7 @@ def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             text = plain_text(content)
             lines = text.split("\n")
             count = len(lines) - (lines[-1] == "")
-            inside = [f for f in functions if f["start_line"] is not None and f["end_line"] is not None and 1 <= f["start_line"] <= f["end_line"] <= count]
+            inside = [f for f in functions if 1 <= f["start_line"] <= f["end_line"] <= count]
             found = documentation(text, language, sorted({f["start_line"] for f in inside})) if inside else {}
             for f in inside:
                 raw = found.get(f["start_line"])
@@ -141,7 +141,7 @@ def documented_functions(functions: DataFrame, files: DataFrame, contents: DataF
     The functions of one file go to the task that holds its content.
     """
     source = source_files(files, contents)
-    listed = functions.groupBy("file_id").agg(
+    listed = functions.where("start_line is not null and end_line is not null and func_id is not null").groupBy("file_id").agg(
         F.collect_list(F.struct("func_id", "qualified_name", "start_line", "end_line")).alias("functions")
     )
     return source.join(listed, "file_id").select("file_id", "language", "content", "functions").mapInPandas(_pairs, PAIRS)

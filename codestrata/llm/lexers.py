@@ -52,7 +52,7 @@ STRINGS = {
     "rust": r'b?r(?P<hashes>\#*)"[\s\S]*?"(?P=hashes)|[bc]?"(?:[^"\\]|\\[\s\S])*"|b?' + r"'(?:[^'\\\n]|\\[^\n]{1,10}?)'",
     "csharp": rf'"""[\s\S]*?"""|(?:\$@|@\$|@)"(?:[^"]|"")*"|\$?{_QUOTED}|{_TICKED}',
 }
-_NUMBER = r"(?:0[xX][0-9a-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?)[A-Za-z0-9_]*"
+_NUMBER = r"(?:0[xX][0-9a-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*(?:\.\d[\d_]*|\.(?![.\w]))?|\.\d[\d_]*)(?:[eE][+-]?\d+)?)[A-Za-z0-9_]*"
 _OPERATORS = (
     r"\.\.\.|\.\.=|>>>=|<<=|>>=|\*\*=|//=|&&=|\|\|=|\?\?=|===|!==|&\^=|->|=>|::|:=|\+\+|--|<-|&&|\|\||\?\?|\?\.|\.\.|==|!=|<=|>=|"
     r"\+=|-=|\*=|/=|%=|&=|\|=|\^=|\*\*|<<|&\^|[-+*/%&|^~!<>=?:;,.(){}\[\]@#$\\]"
@@ -74,6 +74,9 @@ def _pattern(language: str) -> re.Pattern:
     if language == "python":
         # // and the prefix operators of other languages would hide Python's own tokens
         parts[6] = ("operator", r"\.\.\.|\*\*=|//=|>>=|<<=|->|:=|==|!=|<=|>=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|@=|\*\*|//|<<|>>|[-+*/%&|^~<>=:;,.(){}\[\]@]")
+    elif language not in ("javascript", "typescript"):
+        # two stars are two pointers or dereferences there
+        parts[6] = ("operator", _OPERATORS.replace(r"\*\*=|", "").replace(r"\*\*|", ""))
     if language == "c":
         parts.insert(2, ("directive", r"(?<![^\n])[ \t]*\#(?:\\\n|[^\n])*"))
     if language == "rust":
