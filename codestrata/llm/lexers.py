@@ -237,6 +237,19 @@ def _python_tokens(text: str, kinds: dict[str, str]) -> list[tuple[str, int]]:
     return out
 
 
-def text_pieces(text: str, language: str) -> Iterator[tuple[str, str, int]]:
-    """(kind, text, offset) of comments and string literals."""
-    return (t for t in tokens(text, language) if t[0] in ("comment", "string"))
+@lru_cache(maxsize=None)
+def _pieces_pattern(language: str) -> re.Pattern:
+    parts = [("comment", COMMENTS.get(language, _SLASHES)), ("string", STRINGS[language])]
+    if language == "rust":
+        parts.append(("lifetime", r"'[^\W\d]\w*(?!')"))
+    return re.compile("|".join(f"(?P<{k}>{v})" for k, v in parts))
+
+
+def text_pieces(text: str, language: str) -> list[tuple[str, str, int]]:
+    """(kind, text, offset) of comments and string literals, searched for without reading the code between."""
+    found = []
+    for m in _pieces_pattern(language).finditer(text):
+        kind = "string" if m.lastgroup == "hashes" else m.lastgroup
+        if kind != "lifetime":
+            found.append((kind, m.group(), m.start()))
+    return found

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.llm.files import source_files
-from codestrata.llm.lexers import plain_text, tokens
+from codestrata.llm.lexers import plain_text, text_pieces
 
 NATURAL = ("en", "zh", "de", "fr", "es", "ru", "ja")
 #: Running text has so many words, or so many Chinese or Japanese characters.
@@ -37,6 +37,8 @@ _MARKUP = re.compile(r"</?[A-Za-z][\w-]*(?:\s[^>\n]*)?>|\{@\w+[^}]*\}|`[^`\n]*`|
 
 def running_text(line: str) -> str | None:
     """The line without markup, if it holds running text."""
+    if line.isascii() and line.count(" ") < LEAST_WORDS - 1 and len(line.split()) < LEAST_WORDS:
+        return None
     if _TAG.match(line):
         return None
     if len(_QUERY.findall(line)) >= 2 or _CODE.search(line):
@@ -87,62 +89,83 @@ def _joined(short: list[str]) -> Iterator[str]:
             yield text
 
 
-_PROSE = re.compile(r"[^\W\d_]{2,}")
+_CODE_SIGN = re.compile(r"[(){}\[\];=]")
+# How a line of markup begins, and the words that follow # in sources.
+_MARKUP_START = ("<!", "<?", "</", "<html", "<head", "<body", "<div", "<p")
+_HASH_WORDS = ("#[", "#!", "#include", "#define", "#if", "#end", "#pragma", "#el", "#undef", "#error", "#import")
 
 
-def is_source(text: str, language: str) -> bool:
+def is_source(text: str, pieces: list[tuple[str, str, int]]) -> bool:
     """Whether the lines outside comments and strings read as code, not as prose or markup."""
-    code = "".join(body if kind not in ("comment", "string") else " " for kind, body, _ in tokens(text, language))
-    lines = [line.strip() for line in code.split("\n") if line.strip()]
+    gaps, last = [], 0
+    for _, body, at in pieces:
+        gaps.append(text[last:at])
+        last = at + len(body)
+    gaps.append(text[last:])
+    lines = [line for line in map(str.strip, " ".join(gaps).split("\n")) if line]
     if not lines:
         return True
     foreign = 0
     for line in lines:
-        parts = line.split()
-        spoken = sum(1 for p in parts if _WORD_TOKEN.match(p))
-        cjk = len(_CJK.findall(line))
-        if line.startswith(("<!", "<?", "</", "<html", "<head", "<body", "<div", "<p")) or (spoken >= LEAST_WORDS and spoken >= 0.7 * len(parts)) or cjk >= LEAST_CJK:
-            foreign += 1
-        elif line.startswith(("#", "* ", "- ")) and not line.startswith(("#[", "#!", "#include", "#define", "#if", "#end", "#pragma", "#el", "#undef")):
+        if line.startswith(_MARKUP_START) or (line.startswith(("#", "* ", "- ")) and not line.startswith(_HASH_WORDS)):
             foreign += 1
+        elif not _CODE_SIGN.search(line) and (line.count(" ") >= LEAST_WORDS - 1 or not line.isascii()):
+            parts = line.split()
+            spoken = sum(1 for p in parts if _WORD_TOKEN.match(p))
+            if (spoken >= LEAST_WORDS and spoken >= 0.7 * len(parts)) or len(_CJK.findall(line)) >= LEAST_CJK:
+                foreign += 1
     return foreign * 3 < len(lines)
 
 
 def segments(content: str, language: str) -> list[str]:
     """Running text in the comments and string literals of a source file."""
     text = plain_text(content)
-    if not is_source(text, language):
+    pieces = text_pieces(text, language)
+    if not pieces or not is_source(text, pieces):
         return []
     out: list[str] = []
     block: list[str] = []
     last_end = None
-    for kind, body, at in tokens(text, language):
-        if kind not in ("comment", "string"):
+    for kind, body, at in pieces:
+        if kind == "string":
+            if block:
+                out += _paragraphs(block)
+                block = []
+            last_end = None
+            if "\n" in body or "\\n" in body or not body.isascii() or body.count(" ") >= LEAST_WORDS - 1:
+                out += _paragraphs(_lines(kind, body, language))
             continue
-        lines = _lines(kind, body, language)
-        near = last_end is not None and kind == "comment" and not text[last_end:at].strip() and text.count("\n", last_end, at) == 1
-        if kind == "comment" and near:
-            block += lines
-        else:
+        near = last_end is not None and text.count("\n", last_end, at) == 1 and not text[last_end:at].strip()
+        if block and not near:
             out += _paragraphs(block)
-            block = list(lines)
-        last_end = at + len(body) if kind == "comment" else None
-    out += _paragraphs(block)
+            block = []
+        block += _lines(kind, body, language)
+        last_end = at + len(body)
+    if block:
+        out += _paragraphs(block)
     return out
 
 
 # -- identification by naive Bayes over character n-grams
 
 
+_NO_LETTERS = re.compile(r"[\W\d_]+")
+#: Documents of which letters make up less than this teach nothing about a language.
+LEAST_LETTERS = 0.7
+
+
 def grams(text: str) -> np.ndarray:
     """Bucket numbers of the one- to three-character n-grams of a text."""
-    low = " " + re.sub(r"[\W\d_]+", " ", text.lower()).strip() + " "
-    c = np.frombuffer(low.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    one = c[1:-1] * np.uint64(2654435761)
-    two = c[:-1] * np.uint64(40503) + c[1:] * np.uint64(2246822519)
-    three = c[:-2] * np.uint64(3266489917) + c[1:-1] * np.uint64(668265263) + c[2:] * np.uint64(374761393)
+    return _buckets(_NO_LETTERS.sub(" ", text.lower()))
+
+
+def _buckets(low: str) -> np.ndarray:
+    c = np.frombuffer(f" {low.strip()} ".encode("utf-32-le"), dtype=np.uint32)
+    one = c[1:-1] * np.uint32(2654435761)
+    two = c[:-1] * np.uint32(40503) + c[1:] * np.uint32(2246822519)
+    three = c[:-2] * np.uint32(3266489917) + c[1:-1] * np.uint32(668265263) + c[2:] * np.uint32(374761393)
     h = np.concatenate([one, two, three])
-    return ((h ^ (h >> np.uint64(15))) % np.uint64(BUCKETS)).astype(np.int64)
+    return (h ^ (h >> np.uint32(15))) & np.uint32(BUCKETS - 1)
 
 
 def declared_language(lang):
@@ -156,9 +179,9 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     table = np.zeros((len(NATURAL), BUCKETS), dtype=np.int64)
     for pdf in batches:
         for text, lang in zip(pdf["text"], pdf["code"]):
-            kept = "\n".join(filter(None, map(running_text, text.split("\n"))))
-            if kept:
-                np.add.at(table[NATURAL.index(lang)], grams(kept), 1)
+            low = _NO_LETTERS.sub(" ", text.lower())
+            if len(low) >= LEAST_LETTERS * len(text) > 0:
+                table[NATURAL.index(lang)] += np.bincount(_buckets(low), minlength=BUCKETS)
     at = np.nonzero(table)
     yield pd.DataFrame({"lang": at[0].astype(np.int32), "bucket": at[1].astype(np.int32), "n": table[at]})
 
