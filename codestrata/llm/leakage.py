@@ -45,11 +45,12 @@ def _shingles(parts: list[str], width: int, salt: int) -> np.ndarray:
 
 
 def sketch(text: str) -> set[int]:
-    """MinHash values of every run of the least length, of words and of Chinese characters.
+    """Pairs of MinHash values of every run of the least length, of words and of Chinese characters.
 
     All runs have one size, so there is one size class per kind of unit and
     the containment sought within a run is 1: equal runs have equal MinHash
-    values under any hash function, and one function finds every shared run.
+    values under any hash function, so every shared run is found, and two
+    functions together let few other runs pass.
     A long document has more runs, not larger sets, so its length costs no recall.
     """
     words, chars = units(text)
@@ -59,7 +60,10 @@ def sketch(text: str) -> set[int]:
         span = run - width + 1
         if len(s) >= span:
             least = np.lib.stride_tricks.sliding_window_view(s, span).min(axis=1)
-            found.update(np.unique(least).view(np.int64).tolist())
+            other = s * np.uint64(0xD6E8FEB86659FD93)
+            other ^= other >> np.uint64(32)
+            other = np.lib.stride_tricks.sliding_window_view(other, span).min(axis=1)
+            found.update(np.unique(least * np.uint64(0x9E3779B97F4A7C15) + other).view(np.int64).tolist())
     return found
 
 
@@ -76,14 +80,17 @@ def _sketch_rows(key: str):
     return rows
 
 
+def runs(text: str) -> set[str]:
+    """All runs of the least length, of words and of Chinese characters, as texts."""
+    words, chars = units(text)
+    found = {" ".join(words[i:i + WORD_RUN]) for i in range(len(words) - WORD_RUN + 1)}
+    found.update("".join(chars[i:i + CJK_RUN]) for i in range(len(chars) - CJK_RUN + 1))
+    return found
+
+
 def shares_run(text: str, passage: str) -> bool:
     """Exact containment: whether some run of the least length occurs in both texts."""
-    for parts, other, run in ((*x, n) for x, n in zip(zip(units(text), units(passage)), (WORD_RUN, CJK_RUN))):
-        if len(parts) >= run and len(other) >= run:
-            wanted = {tuple(other[i:i + run]) for i in range(len(other) - run + 1)}
-            if any(tuple(parts[i:i + run]) in wanted for i in range(len(parts) - run + 1)):
-                return True
-    return False
+    return not runs(passage).isdisjoint(runs(text))
 
 
 def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
@@ -105,9 +112,20 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def verified(text: pd.Series, passage: pd.Series) -> pd.Series:
-        return pd.Series([shares_run(t, p) for t, p in zip(text, passage)], dtype="bool")
-
-    full = pairs.join(docs, "doc_id").join(passage, "item_id")
+        known: dict[str, set[str]] = {}
+        out, last, own = [], None, set()
+        for t, p in zip(text, passage):
+            if p not in known:
+                if len(known) >= 2_000:
+                    known.clear()
+                known[p] = runs(p)
+            if t is not last and t != last:
+                last, own = t, runs(t)
+            out.append(not known[p].isdisjoint(own))
+        return pd.Series(out, dtype="bool")
+
+    # sorted by document, so its runs are built once for all items it may hold
+    full = pairs.join(docs, "doc_id").join(passage, "item_id").sortWithinPartitions("doc_id")
     return full.where(verified("text", "passage")).select("doc_id", "item_id").distinct()
 
 
