@@ -14,6 +14,8 @@ from codestrata.session import Stage
 MAX_COMPONENT_LINKS = 50_000
 #: Links that one task of the walk aims at.
 LINKS_PER_BUCKET = 20_000
+#: A stated number of partitions keeps buckets from being merged into few long tasks.
+MAX_TASKS = 10_000
 
 
 def components(links: DataFrame, stage: Stage) -> DataFrame:
@@ -180,7 +182,7 @@ def ancestors(links: DataFrame, max_component: int = MAX_COMPONENT_LINKS, stage:
     small = named.join(large, "component", "left_anti") if many_large else named
     walked = stage.keep(
         small.withColumn("bucket", F.pmod(F.xxhash64("component"), F.lit(buckets)))
-        .groupBy("bucket").applyInPandas(_walk_bucket, "node long, ancestor long, distance int")
+        .repartition(min(buckets, MAX_TASKS), "bucket").groupBy("bucket").applyInPandas(_walk_bucket, "node long, ancestor long, distance int")
     )
     rows = walked.where("distance > 0")
     back = walked.where("distance = 0").select(F.col("node").alias("child"), F.col("ancestor").alias("parent"))
