@@ -16,6 +16,8 @@ CAPACITY = 2048
 MAX_SEGMENTS, MAX_LOSS_TOKENS = 512, 2048
 #: Pieces that are packed together in one task; groups are drawn by hash, so each has the corpus's mix of lengths.
 PIECES_PER_GROUP = 20_000
+#: A stated number of partitions keeps groups from being merged into few long tasks.
+MAX_TASKS = 10_000
 #: Public tokenizer: a file of ranks, one token a line, and the pattern that splits a text before merging.
 TOKENIZER = "byte_bpe_50k.tiktoken"
 
@@ -135,7 +137,8 @@ def pack_documents(items: DataFrame, capacity: int = CAPACITY, segments: int = M
     rest = items.where(F.col("tokens") < capacity)
     groups = max(1, -(-rest.count() // per_group))
     packed = (
-        rest.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups))).groupBy("part")
+        rest.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+        .repartition(min(groups, MAX_TASKS), "part").groupBy("part")
         .applyInPandas(_pack_group((capacity, segments, limit)),
                        "container string, doc_id long, piece int, token_start long, tokens int, loss_tokens int")
     )
