@@ -21,6 +21,29 @@ def spaced(name: Column) -> Column:
     return F.concat(F.lit(" "), F.regexp_replace(dotted(name), r"(\W)", " $1 "), F.lit(" "))
 
 
+def callee_forms(callee: Column) -> list[Column]:
+    """What ``refers`` needs to know of a raw callee text; computed once per callee, not once per pair."""
+    return [callee.alias("callee_name"), spaced(callee).alias("spaced"), F.lower(callee).alias("callee_low"),
+            F.contains(callee, F.lit("::")).alias("scoped")]
+
+
+def name_forms(name: Column) -> list[Column]:
+    """What ``refers`` needs to know of a function name."""
+    return [
+        spaced(name).alias("name_spaced"), F.lower(name).alias("name_low"), F.lower(simple_name(name)).alias("simple_low"),
+        F.when(simple_name(name) != dotted(name), spaced(simple_name(name))).alias("simple_spaced"),
+    ]
+
+
+def form_refers() -> Column:
+    """``refers`` over the columns of ``callee_forms`` and ``name_forms``."""
+    simple = F.coalesce(~F.col("scoped") & F.contains("spaced", F.col("simple_spaced")), F.lit(False))
+    edge = F.lit(False)
+    for part in ("name_low", "simple_low"):
+        edge = edge | F.startswith("callee_low", F.col(part)) | F.endswith("callee_low", F.col(part))
+    return (F.contains("spaced", F.col("name_spaced")) | simple) & edge
+
+
 def refers(callee: Column, callee_spaced: Column, name: Column) -> Column:
     """Whether a raw callee text refers to a function name, by identifier boundaries.
 

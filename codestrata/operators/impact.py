@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.functions.names import is_test_file
-from codestrata.operators.lookup import reference_edges
+from codestrata.operators.lookup import callee_words, referring_callees
 
 MAX_DEPTH = 3
 
@@ -19,18 +19,19 @@ def impact(sites: DataFrame, sources: DataFrame, stage, max_depth: int = MAX_DEP
     max_depth are still expanded, so depths go to max_depth + 1. A caller
     counts at the level that reaches it first, with the least (file, line) of
     that level; the source itself is never listed. All sources advance
-    together, one set of joins per level.
+    together, one set of joins per level. Call sites are reduced to the least
+    place of each callee and caller first, and a level's targets to the
+    distinct callees that refer to any of them, so namesakes don't multiply rows.
     """
-    sites = stage.keep(sites)
+    near = stage.keep(sites.groupBy("callee_name", "caller").agg(F.min(F.struct("file", "line")).alias("at")))
+    words = stage.keep(callee_words(near))
     first = sources.select("source").where("source is not null").distinct()
     reached = stage.keep(first.select("source", F.col("source").alias("caller"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("line")))
     frontier, found = reached, reached
     for depth in range(1, max_depth + 2):
-        names = frontier.select(F.col("caller").alias("target")).distinct()
-        calls = reference_edges(sites, names).select("target", "caller", "file", "line").distinct()
+        callees = referring_callees(words, frontier.select("source", F.col("caller").alias("target"))).select("source", "callee_name").distinct()
         step = (
-            frontier.select("source", F.col("caller").alias("target")).join(calls, "target")
-            .groupBy("source", "caller").agg(F.min(F.struct("file", "line")).alias("at"))
+            callees.join(near, "callee_name").groupBy("source", "caller").agg(F.min("at").alias("at"))
             .join(found.select("source", "caller"), ["source", "caller"], "left_anti")
             .select("source", "caller", F.lit(depth).alias("depth"), F.col("at.file").alias("file"), F.col("at.line").alias("line"))
         )

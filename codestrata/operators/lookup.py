@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codestrata.functions.names import refers, simple_name, spaced
+from codestrata.functions.names import callee_forms, form_refers, name_forms, refers, simple_name, spaced
 
 SEARCH_LIMIT, FILE_LIMIT = 30, 10
 
@@ -94,15 +94,23 @@ def graph_stats(**tables: DataFrame) -> DataFrame:
     return out
 
 
-def reference_edges(sites: DataFrame, names: DataFrame) -> DataFrame:
-    """Call sites joined to every name of ``names`` (column ``target``) they refer to.
+def callee_words(sites: DataFrame) -> DataFrame:
+    """Each distinct spelling of a callee, with the forms it is compared by, and each of its identifiers (word)."""
+    spelled = sites.select("callee_name").distinct().select(*callee_forms(F.col("callee_name")))
+    return spelled.withColumn("word", F.explode(F.array_distinct(F.filter(F.split("spaced", r"\W+"), lambda w: w != ""))))
+
+
+def referring_callees(words: DataFrame, names: DataFrame) -> DataFrame:
+    """The rows of ``names`` (with a column ``target``) joined to each callee_name of ``words`` that refers to the target.
 
-    Each callee is cut into its identifiers, once per distinct spelling; a name
-    can only be meant where its last segment is one of them, so the join is by
-    that word and the exact rule is a residual.
+    A name can only be meant where its last segment is one of the callee's
+    identifiers, so the join is by that word and the exact rule is a residual.
     """
-    spelled = sites.select("callee_name").distinct().withColumn("spaced", spaced(F.col("callee_name")))
-    words = spelled.withColumn("word", F.explode(F.array_distinct(F.filter(F.split("spaced", r"\W+"), lambda w: w != ""))))
-    meant = names.select("target").where("target is not null").distinct().withColumn("word", simple_name(F.col("target")))
-    pairs = words.join(meant, "word").where(refers(F.col("callee_name"), F.col("spaced"), F.col("target"))).select("callee_name", "target")
-    return sites.join(pairs, "callee_name")
+    name = F.col("target")
+    meant = names.where("target is not null").select(*names.columns, simple_name(name).alias("word"), *name_forms(name))
+    return words.join(meant, "word").where(form_refers()).select("callee_name", *names.columns)
+
+
+def reference_edges(sites: DataFrame, names: DataFrame) -> DataFrame:
+    """Call sites joined to every name of ``names`` (column ``target``) they refer to."""
+    return sites.join(referring_callees(callee_words(sites), names.select("target").distinct()), "callee_name")
