@@ -78,3 +78,13 @@ def ego_network(all_links: DataFrame, centre: DataFrame) -> DataFrame:
     out = all_links.join(one.withColumnRenamed("node_id", "source"), "source", "left_semi")
     into = all_links.join(one.withColumnRenamed("node_id", "target"), "target", "left_semi")
     return out.unionByName(into).distinct()
+
+
+def adjacency(all_links: DataFrame) -> DataFrame:
+    """node_id with its callers and callees, each sorted and joined by commas; the links are those of at most ``NODE_LIMIT`` nodes."""
+    def side(node: str, other: str, name: str) -> DataFrame:
+        named = F.concat_ws(",", F.array_sort(F.collect_set(other))).alias(name)
+        return all_links.groupBy(F.col(node).alias("node_id")).agg(named)
+
+    both = side("target", "source", "callers").join(side("source", "target", "callees"), "node_id", "full")
+    return both.select("node_id", F.coalesce("callers", F.lit("")).alias("callers"), F.coalesce("callees", F.lit("")).alias("callees"))

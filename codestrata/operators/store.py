@@ -1,0 +1,69 @@
+"""Reading and maintaining a stored graph: file lines, content hashes, overview by directory, cascading removal."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from codestrata.sources.tables import plain_path, project_files
+
+LINE_LIMIT = 50
+
+
+def newest_contents(contents: DataFrame) -> DataFrame:
+    """file_id and content, one row per file: the latest that is not null, ties by the greatest text's hash."""
+    kept = contents.where("file_id is not null and content is not null")
+    order = F.struct("loaded_at", F.xxhash64("content"))
+    return kept.groupBy("file_id").agg(F.max_by("content", order).alias("content"))
+
+
+def numbered_lines(contents: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
+    """file_id, line_no and line of the first ``limit`` lines of each content; LF, CRLF and CR end a line.
+
+    A null content has no lines, an empty one a single empty line.
+    """
+    lines = F.slice(F.split(F.regexp_replace("content", "\r\n?", "\n"), "\n"), 1, limit)
+    return contents.where("content is not null").select("file_id", F.posexplode(lines).alias("at", "line")).select(
+        "file_id", (F.col("at") + 1).alias("line_no"), "line"
+    )
+
+
+def content_hashes(contents: DataFrame) -> DataFrame:
+    """file_id and SHA-1, in lower case, of each file's newest content."""
+    return newest_contents(contents).select("file_id", F.sha1("content").alias("sha1"))
+
+
+def overview(files: DataFrame, functions: DataFrame, classes: DataFrame) -> DataFrame:
+    """project, directory, files, python_files, functions and classes of each top directory.
+
+    The directory is the path's second segment, empty for files right below
+    the project. Records are counted per file before they meet the files.
+    """
+    parts = F.split("path", "/")
+    top = F.when(F.size(parts) > 2, F.element_at(parts, 2)).otherwise(F.lit(""))
+    named = project_files(files).where("path is not null")
+    out = named.select("file_id", "project", top.alias("directory"), F.endswith("path", F.lit(".py")).cast("int").alias("python"))
+    for name, records in (("functions", functions), ("classes", classes)):
+        out = out.join(records.groupBy("file_id").agg(F.count(F.lit(1)).alias(name)), "file_id", "left")
+    return out.groupBy("project", "directory").agg(
+        F.count(F.lit(1)).alias("files"), F.sum("python").alias("python_files"),
+        F.coalesce(F.sum("functions"), F.lit(0)).alias("functions"), F.coalesce(F.sum("classes"), F.lit(0)).alias("classes"),
+    )
+
+
+def remove_files(gone: DataFrame, files: DataFrame, functions: DataFrame, classes: DataFrame, imports: DataFrame,
+                 call_edges: DataFrame, file_hashes: DataFrame) -> dict[str, DataFrame]:
+    """All tables without the files of ``gone`` (file_id, path) and what hangs on them.
+
+    Calls go with the function they are made from, hashes with their path in
+    any spelling. Rows whose reference is null stay, as do calls whose caller
+    also stands in a file that is kept.
+    """
+    ids = gone.select("file_id").distinct()
+    kept = {name: df.join(ids, "file_id", "left_anti") for name, df in
+            (("files", files), ("functions", functions), ("classes", classes), ("imports", imports))}
+    lost = functions.join(ids, "file_id", "left_semi").select("func_id").distinct().join(kept["functions"].select("func_id"), "func_id", "left_anti")
+    kept["call_edges"] = call_edges.join(lost, call_edges.caller_func_id == lost.func_id, "left_anti")
+    paths = gone.select(F.col("path").alias("_gone")).distinct()
+    kept["file_hashes"] = file_hashes.join(paths, plain_path(F.col("path")) == F.col("_gone"), "left_anti")
+    return kept

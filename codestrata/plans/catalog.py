@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.operators import callgraph, diff, impact, lookup, modules, questions, vectors
+from codestrata.operators import callgraph, diff, impact, lookup, modules, questions, store, vectors
 from codestrata.operators.snapshots import graph_records
 from codestrata.session import Stage
 from codestrata.sources.python_source import parse_python, vue_script
@@ -180,6 +180,26 @@ def _trace_stream(b: Bound) -> DataFrame:
     return trace.stream_summary(b.spark, f"{b.folder}/events.parque[t]", table(b.spark, b.folder, "events").schema)
 
 
+def _read_file(b: Bound) -> DataFrame:
+    """The first lines of the first file by path that matches the word and has content."""
+    contents = store.newest_contents(b.graph.file_contents)
+    hit = lookup.search_files(b.graph.files.join(contents.select("file_id"), "file_id", "left_semi"), WORD, 1)
+    return store.numbered_lines(contents.join(hit.select("file_id"), "file_id", "left_semi")).select("line_no", "line")
+
+
+def _removed(b: Bound) -> DataFrame:
+    """What each table holds once the files whose path contains the word are removed."""
+    g = b.graph
+    gone = g.files.where(F.contains("path", F.lit(WORD))).select("file_id", "path")
+    return lookup.graph_stats(**store.remove_files(gone, g.files, g.functions, g.classes, g.imports, g.call_edges, g.file_hashes))
+
+
+def _related(b: Bound) -> DataFrame:
+    """Impact of every function whose name contains the word: callers and the levels they are reached at."""
+    sources = b.functions.where(F.contains("name", F.lit(WORD))).select(F.col("qualified_name").alias("source"))
+    return b.impact_of(sources).select("caller", "depth").distinct()
+
+
 def queries() -> dict:
     bound = {
         "callers_of": lambda b: lookup.callers_of(b.sites, NAME),
@@ -194,6 +214,11 @@ def queries() -> dict:
         "change_impact": lambda b: b.impact_of(_named(b)).select("caller", "depth", "file", "line"),
         "impact_batch": lambda b: b.impact_of(b.changed_functions().select(F.col("name").alias("source"))).select("source", "caller", "depth"),
         "affected_files": lambda b: impact.affected_files(b.impact_of(_named(b))),
+        "related_impact": _related,
+        "read_file": _read_file,
+        "content_hashes": lambda b: store.content_hashes(b.graph.file_contents),
+        "project_overview": lambda b: store.overview(b.graph.files, b.functions, b.classes),
+        "graph_remove": _removed,
         "module_dependencies": lambda b: b.dependencies(),
         "module_fan": lambda b: modules.fan(b.dependencies()),
         "core_modules": lambda b: modules.core_modules(modules.fan(b.dependencies())),
@@ -204,6 +229,7 @@ def queries() -> dict:
         "call_degrees": lambda b: callgraph.degrees(b.graph.call_edges, b.functions).select("func_id", "calls", "called_by"),
         "callgraph_nodes": lambda b: callgraph.nodes(callgraph.degrees(b.graph.call_edges, b.functions)),
         "callgraph_links": lambda b: callgraph.links(b.sites, _shown(b)),
+        "callgraph_adjacency": lambda b: callgraph.adjacency(callgraph.links(b.sites, _shown(b))),
         "ego_network": _ego,
         "diff_files": _diff("file"),
         "diff_functions": _diff("function"),

@@ -137,6 +137,9 @@ lnk AS (
 """
 
 
+_CONTENTS = "@ newest AS (SELECT file_id, arg_max(content, loaded_at) AS content FROM file_contents WHERE content IS NOT NULL AND file_id IS NOT NULL GROUP BY ALL),\n"
+
+
 def _intent(q: str) -> str:
     arms = []
     for pattern, name in INTENTS:
@@ -232,6 +235,20 @@ def oracle_sql() -> dict[str, str]:
         "impact_batch": _sql(_impact(_CHANGED) + "SELECT source, caller, depth FROM reached", r),
         "affected_files": _sql(_impact(_ONE) + "SELECT DISTINCT spot.file AS file, contains(split_part(lower(spot.file), '/', -1), 'test') OR contains(split_part(lower(spot.file), '/', -2), 'test') AS is_test FROM reached", r),
         "review_findings": _sql(_impact(_CHANGED) + ", sums AS (SELECT source, count_if(depth = 1) AS direct_callers, count(*) AS all_affected, count(DISTINCT spot.file) AS affected_files FROM reached GROUP BY ALL) SELECT source, replace(change_kind, 'changed', 'modified') AS status, coalesce(direct_callers, 0) AS direct_callers, coalesce(all_affected, 0) AS all_affected, coalesce(affected_files, 0) AS affected_files FROM (SELECT DISTINCT name AS source, change_kind FROM last_steps WHERE kind = 'function' AND change_kind IN ('added', 'changed')) LEFT JOIN sums USING (source)", r),
+        "related_impact": _sql(_impact(f"SELECT DISTINCT qualified_name AS source FROM fn WHERE contains(name, '{WORD}') AND qualified_name IS NOT NULL") + "SELECT DISTINCT caller, depth FROM reached", r),
+        "read_file": _sql(_CONTENTS + f"""one AS (SELECT files.file_id FROM files JOIN newest USING (file_id) WHERE name ILIKE '%{WORD}%' OR path ILIKE '%{WORD}%' ORDER BY path LIMIT 1),
+cut AS (SELECT string_split(regexp_replace(content, '\\r\\n?', chr(10), 'g'), chr(10)) AS l FROM newest JOIN one USING (file_id))
+SELECT i::INT AS line_no, l[i] AS line FROM (SELECT l, unnest(generate_series(1, least(50, len(l)))) AS i FROM cut)"""),
+        "content_hashes": _sql(_CONTENTS.rstrip().rstrip(",") + " SELECT file_id, sha1(content) AS sha1 FROM newest"),
+        "project_overview": _sql("SELECT project, CASE WHEN len(string_split(path, '/')) > 2 THEN split_part(path, '/', 2) ELSE '' END AS directory, count(*) AS files, count_if(ends_with(path, '.py'))::BIGINT AS python_files, coalesce(sum(f), 0)::BIGINT AS functions, coalesce(sum(c), 0)::BIGINT AS classes FROM f0 LEFT JOIN (SELECT file_id, count(*) AS f FROM fn GROUP BY ALL) USING (file_id) LEFT JOIN (SELECT file_id, count(*) AS c FROM cl GROUP BY ALL) USING (file_id) WHERE path IS NOT NULL GROUP BY ALL"),
+        "graph_remove": _sql(f"""@ gone AS (SELECT file_id, path FROM files WHERE contains(path, '{WORD}')),
+lost AS (SELECT func_id FROM functions WHERE file_id IN (SELECT file_id FROM gone) EXCEPT SELECT func_id FROM functions f WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.file_id = f.file_id))
+SELECT 'files' AS metric, count(*) AS n FROM files t WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.file_id = t.file_id)
+UNION ALL SELECT 'functions', count(*) FROM functions t WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.file_id = t.file_id)
+UNION ALL SELECT 'classes', count(*) FROM classes t WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.file_id = t.file_id)
+UNION ALL SELECT 'imports', count(*) FROM imports t WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.file_id = t.file_id)
+UNION ALL SELECT 'call_edges', count(*) FROM call_edges t WHERE NOT EXISTS (SELECT 1 FROM lost WHERE lost.func_id = t.caller_func_id)
+UNION ALL SELECT 'file_hashes', count(*) FROM h0 t WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.path = t.path)"""),
         "module_dependencies": _sql(_MODULES + "SELECT project, from_module, to_module, details FROM deps", r),
         "module_fan": _sql(_MODULES + "SELECT * FROM fan", r),
         "core_modules": _sql(_MODULES + "SELECT project, module, fan_in, fan_out, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY fan_in DESC, module) AS rank FROM fan WHERE fan_in > 0) WHERE rank <= 5", r),
@@ -242,6 +259,7 @@ def oracle_sql() -> dict[str, str]:
         "call_degrees": _sql(_DEGREES + "SELECT func_id, calls, called_by FROM deg"),
         "callgraph_nodes": _sql(_DEGREES + "SELECT * FROM shown"),
         "callgraph_links": _sql(_DEGREES + "SELECT * FROM lnk"),
+        "callgraph_adjacency": _sql(_DEGREES + "SELECT coalesce(a.node_id, b.node_id) AS node_id, coalesce(callers, '') AS callers, coalesce(callees, '') AS callees FROM (SELECT target AS node_id, string_agg(source, ',' ORDER BY source) AS callers FROM (SELECT DISTINCT * FROM lnk) GROUP BY ALL) a FULL JOIN (SELECT source AS node_id, string_agg(target, ',' ORDER BY target) AS callees FROM (SELECT DISTINCT * FROM lnk) GROUP BY ALL) b ON a.node_id = b.node_id"),
         "ego_network": _sql(_DEGREES + ", one AS (SELECT node_id FROM shown ORDER BY calls + called_by DESC, node_id LIMIT 1) SELECT * FROM lnk WHERE source IN (FROM one) OR target IN (FROM one)"),
         "diff_files": _diff("file"), "diff_functions": _diff("function"), "diff_classes": _diff("class"),
         "diff_stats": _sql("SELECT kind, project, replace(change_kind, 'changed', 'modified') AS status, count(*) AS n FROM last_steps GROUP BY ALL"),
