@@ -169,7 +169,9 @@ def _defaults() -> Attributes:
 # -- contents
 
 _OPENING = re.compile(r"\A\s*(?:(?:#(?!\[|include|define|if|pragma)[^\n]*|//[^\n]*|/\*[\s\S]*?\*/|<!--[\s\S]*?-->|--[^\n]*)\s*)+")
-_LITERALS = re.compile(r"""^[\s\[\]{}(),]*(?:(?:-?0[xX][0-9a-fA-F]+|-?\d[\d_]*(?:\.\d+)?(?:[eE][+-]?\d+)?|b?["'][A-Za-z0-9+/=_\\-]{12,}["'])[uUlLf]*[\s,;\[\]{}()]*)+$""")
+#: A row of literals, with the comment that may end it. Every repetition is possessive: a number is
+#: never split again, so a line that fails does so in one pass.
+_LITERALS = re.compile(r"""^(?P<data>[\s\[\]{}(),]*+(?:(?:-?0[xX][0-9a-fA-F]++|-?\d[\d_]*+(?:\.\d++)?+(?:[eE][+-]?\d++)?+|b?["'][A-Za-z0-9+/=_\\-]{12,}+["'])[uUlLf]*+[\s,;\[\]{}()]*+)++)(?:(?://|\#|/\*).*)?$""")
 _LONG_LITERAL = re.compile(r"""["'`][A-Za-z0-9+/=_\\-]{200,}["'`]""")
 _DEFINED = re.compile(r"\b(?:def|fn|func|function|void|int|long|double|bool|string|object|char)\s+(?:\([^)\n]*\)\s*)?\*?([A-Za-z_]\w*)\s*[(<\[]")
 
@@ -193,7 +195,7 @@ def evidence(content: str, ext: str) -> tuple[str | None, str | None]:
     lines = [line for line in text.split("\n") if line.strip()]
     size = len(text)
     if size >= 400:
-        blob = sum(len(line) for line in lines if _LITERALS.match(line)) + sum(len(x) for x in _LONG_LITERAL.findall(text))
+        blob = sum(m.end("data") for line in lines if (m := _LITERALS.match(line))) + sum(len(x) for x in _LONG_LITERAL.findall(text))
         if blob >= 0.6 * size:
             return "data", prefix
         longest = max(map(len, lines), default=0)

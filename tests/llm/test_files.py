@@ -139,6 +139,13 @@ def test_origin_evidence():
     assert origin.evidence("", "py") == (None, None)
 
 
+def test_literal_rows_with_comments_take_one_pass():
+    assert origin.evidence(("1024, " * 5 + "// row\n") * 30, "rs")[0] == "data"
+    assert origin.evidence(("0x1f, 'c', " * 5 + "# row\n") * 30, "py")[0] is None
+    assert origin.evidence(("7, // " + "the words of a person about this constant\n") * 30, "go")[0] is None
+    assert origin.evidence("1024, " * 20_000 + "in words\n" + "1987 " * 40 + "were the years\n" + "12.5e3_0" * 5_000, "rs")[0] is None
+
+
 def test_attribute_precedence():
     a = origin.Attributes([("", "*.js generated\nlib/** vendored\nlib/own/** -vendored\n# c\n"), ("app", "*.js -generated\n/top.py linguist-generated=true\n[ab].c generated\n")])
     assert a.marks("x/y.js") == {"generated": True}
