@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +18,10 @@ MAX_COMPONENT_LINKS = 50_000
 LINKS_PER_BUCKET = 20_000
 #: A stated number of partitions keeps buckets from being merged into few long tasks.
 MAX_TASKS = 10_000
+#: The starts of a component with more links are spread over tasks, one for each so many links.
+LINKS_PER_SLICE = 2_000
+#: Rows that a walk holds before it hands them on, and ancestors that it remembers for nodes still to come.
+ROWS_PER_BATCH, MAX_REMEMBERED = 100_000, 1_000_000
 
 
 def components(links: DataFrame, stage: Stage) -> DataFrame:
@@ -100,38 +106,93 @@ def _nearest(parents: dict[int, list[int]], node: int) -> dict[int, int]:
     return reached
 
 
-def _component_rows(parents: dict[int, list[int]]) -> tuple[list, list]:
-    """(node, ancestor, distance) rows and back edges of one component."""
+def _reached(parents: dict[int, list[int]], remember: int = MAX_REMEMBERED) -> Iterator[tuple[int, dict[int, int]]]:
+    """(node, least steps to each ancestor) of one component, node by node, and no more kept than is needed.
+
+    Without back edges a node takes its ancestors from its parents', which are
+    forgotten once all children are black; beyond ``remember`` kept ancestors,
+    and with back edges, a node is searched by breadth.
+    """
     order, back = _colour_walk(parents)
-    rows: list[tuple[int, int, int]] = []
     if back:
         for node in parents:
-            rows += [(node, up, far) for up, far in _nearest(parents, node).items()]
-        return rows, back
+            yield node, _nearest(parents, node)
+        return
+    waiting: dict[int, int] = {}
+    for ups in parents.values():
+        for up in ups:
+            waiting[up] = waiting.get(up, 0) + 1
     above: dict[int, dict[int, int]] = {}
+    held = 0
     for node in order:
-        own: dict[int, int] = {}
-        for up in parents.get(node, ()):
-            for far_up, far in [(up, 0), *above.get(up, {}).items()]:
-                if own.get(far_up, far + 2) > far + 1:
-                    own[far_up] = far + 1
-        above[node] = own
-        rows += [(node, up, far) for up, far in own.items()]
-    return rows, back
-
-
-def _walk_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    """All components of one bucket; back edges come as rows with distance 0."""
-    out: list[tuple[int, int, int]] = []
-    pdf = pdf.sort_values(["component", "child", "parent"])
-    for _, part in pdf.groupby("component", sort=False):
-        parents: dict[int, list[int]] = {}
-        for child, parent in zip(part["child"].tolist(), part["parent"].tolist()):
+        ups = parents.get(node, ())
+        if all(up in above for up in ups):
+            own: dict[int, int] = {}
+            for up in ups:
+                if own.get(up, 2) > 1:
+                    own[up] = 1
+                for far_up, far in above[up].items():
+                    if own.get(far_up, far + 2) > far + 1:
+                        own[far_up] = far + 1
+        else:
+            own = _nearest(parents, node)
+        for up in ups:
+            waiting[up] -= 1
+            if not waiting[up]:
+                held -= len(above.pop(up, ()))
+        if waiting.get(node) and held + len(own) <= remember:
+            above[node] = own
+            held += len(own)
+        if own:
+            yield node, own
+
+
+def _component_rows(parents: dict[int, list[int]]) -> tuple[list, list]:
+    """(node, ancestor, distance) rows and back edges of one component."""
+    return [(node, up, far) for node, own in _reached(parents) for up, far in own.items()], _colour_walk(parents)[1]
+
+
+def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, int, dict[int, list[int]]]]:
+    """(slice, number of slices, parents) of each run of links with equal component and slice."""
+    at, slices, parents = None, 1, {}
+    for pdf in batches:
+        for component, part, of, child, parent in zip(*(pdf[c].tolist() for c in ("component", "slice", "slices", "child", "parent"))):
+            if at != (component, part):
+                if parents:
+                    yield at[1], slices, parents
+                at, slices, parents = (component, part), of, {}
             parents.setdefault(child, []).append(parent)
-        rows, back = _component_rows(parents)
-        out += rows
-        out += [(child, parent, 0) for child, parent in back]
-    return pd.DataFrame(out, columns=["node", "ancestor", "distance"]).astype({"node": "int64", "ancestor": "int64", "distance": "int32"})
+    if parents:
+        yield at[1], slices, parents
+
+
+def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of the components of a partition, in frames of a bounded number of rows.
+
+    The links are sorted by component and slice. A slice of a component sees
+    all of its links and starts from every so many of its nodes.
+    """
+    nodes, ups, fars, size = [], [], [], 0
+
+    def frame() -> pd.DataFrame:
+        return pd.DataFrame({"node": np.concatenate(nodes), "ancestor": np.concatenate(ups), "distance": np.concatenate(fars)})
+
+    for part, slices, parents in _parts(batches):
+        if slices > 1:
+            found = ((node, _nearest(parents, node)) for i, node in enumerate(parents) if i % slices == part)
+        else:
+            found = _reached(parents)
+        for node, own in found:
+            n = len(own)
+            nodes.append(np.full(n, node, "int64"))
+            ups.append(np.fromiter(own.keys(), "int64", n))
+            fars.append(np.fromiter(own.values(), "int32", n))
+            size += n
+            if size >= ROWS_PER_BATCH:
+                yield frame()
+                nodes, ups, fars, size = [], [], [], 0
+    if size:
+        yield frame()
 
 
 def _grow(links: DataFrame, stage: Stage) -> DataFrame:
@@ -156,43 +217,47 @@ def _grow(links: DataFrame, stage: Stage) -> DataFrame:
 
 
 def ancestors(links: DataFrame, max_component: int = MAX_COMPONENT_LINKS, stage: Stage | None = None) -> tuple[DataFrame, DataFrame]:
-    """Ancestors and back edges of the directed graph of ``links`` (child LONG, parent LONG).
+    """Ancestors and loops of the directed graph of ``links`` (child LONG, parent LONG).
 
     Returns (node, ancestor, distance), one row for each ancestor reached in
     one or more steps with the least number of steps, and (child, parent) of
-    the links that close a cycle. A node on a cycle is its own ancestor. Null
+    the links that lie on a cycle, whatever the size. A node on a cycle is its own ancestor. Null
     ends and repeated links count for nothing; no links give empty results.
 
-    Components are found first and each is co-located: buckets of whole
-    components are walked depth-first with node colours in one task each.
-    Components above ``max_component`` links are never brought together: they
-    grow by joins, and their back edges are the links whose parent has the
-    child as an ancestor.
+    Components are found first and each is co-located: tasks walk buckets of
+    whole components depth-first with node colours and hand on rows as they
+    find them. The starts of a component above ``LINKS_PER_SLICE`` links are
+    spread over tasks. Components above ``max_component`` links are never
+    brought together: they grow by joins.
     """
     stage = stage or Stage(links.sparkSession, "hierarchy")
     links = stage.keep(links.select("child", "parent").where("child is not null and parent is not null").distinct())
     named = stage.keep(
         links.join(components(links, stage).withColumnRenamed("node", "child"), "child").select("child", "parent", "component")
     )
-    sizes = named.groupBy("component").agg(F.count(F.lit(1)).alias("links"))
-    large = stage.keep(sizes.where(F.col("links") > max_component).select("component"))
-    total = named.count()
-    buckets = max(1, -(-total // LINKS_PER_BUCKET))
-    many_large = large.count()
-    small = named.join(large, "component", "left_anti") if many_large else named
-    walked = stage.keep(
-        small.withColumn("bucket", F.pmod(F.xxhash64("component"), F.lit(buckets)))
-        .repartition(min(buckets, MAX_TASKS), "bucket").groupBy("bucket").applyInPandas(_walk_bucket, "node long, ancestor long, distance int")
+    sizes = stage.keep(
+        named.groupBy("component").agg(F.count(F.lit(1)).alias("links"))
+        .withColumn("slices", F.ceil(F.col("links") / LINKS_PER_SLICE).cast("int"))
+    )
+    large = sizes.where(F.col("links") > max_component).select("component")
+    small = named.join(sizes.where(F.col("links") <= max_component), "component")
+    total, many_large = sizes.agg(F.sum(F.when(F.col("links") <= max_component, F.col("links") * F.col("slices"))),
+                                  F.count_if(F.col("links") > max_component)).first()
+    buckets = min(max(1, -(-(total or 0) // LINKS_PER_BUCKET)), MAX_TASKS)
+    sliced = small.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    rows = stage.keep(
+        sliced.repartition(buckets, "component", "slice").sortWithinPartitions("component", "slice", "child", "parent")
+        .select("component", "slice", "slices", "child", "parent").mapInPandas(_walk, "node long, ancestor long, distance int")
     )
-    rows = walked.where("distance > 0")
-    back = walked.where("distance = 0").select(F.col("node").alias("child"), F.col("ancestor").alias("parent"))
     if many_large:
-        hot = named.join(large, "component", "left_semi").select("child", "parent")
-        grown = _grow(stage.keep(hot), stage)
-        rows = rows.unionByName(grown)
-        loops = grown.select(F.col("node").alias("parent"), F.col("ancestor").alias("child"))
-        back = back.unionByName(hot.join(loops, ["child", "parent"], "left_semi").union(hot.where("child = parent")).distinct())
-    return rows, back
+        rows = rows.unionByName(_grow(stage.keep(named.join(large, "component", "left_semi").select("child", "parent")), stage))
+    return rows, loop_links(rows, links)
+
+
+def loop_links(closure: DataFrame, links: DataFrame) -> DataFrame:
+    """(child, parent) of the links that lie on a loop: those whose parent has the child as an ancestor."""
+    ways_back = closure.select(F.col("node").alias("parent"), F.col("ancestor").alias("child"))
+    return links.select("child", "parent").distinct().join(ways_back, ["child", "parent"], "left_semi")
 
 
 def hierarchy(closure: DataFrame, links: DataFrame) -> DataFrame:

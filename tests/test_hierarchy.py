@@ -66,6 +66,54 @@ def test_deep_chain_needs_no_recursion():
     assert not back and len(found) == 2999 * 3000 // 2
 
 
+def _longest_frame(pairs, slices=1):
+    """Rows, sum of distances and the longest frame of a walk over one component."""
+    import pandas as pd
+
+    links = pd.DataFrame(pairs, columns=["child", "parent"]).assign(component=0, slices=slices)
+    total = far = longest = 0
+    for part in range(slices):
+        batches = (links.iloc[at:at + 10_000].assign(slice=part) for at in range(0, len(links), 10_000))
+        for frame in H._walk(batches):
+            total, far, longest = total + len(frame), far + int(frame["distance"].sum()), max(longest, len(frame))
+    return total, far, longest
+
+
+def test_chain_of_20000_comes_in_bounded_frames():
+    n = 20_000
+    total, far, longest = _longest_frame([(i, i - 1) for i in range(1, n + 1)])
+    assert total == n * (n + 1) // 2 and far == n * (n + 1) * (n + 2) // 6
+    assert longest < H.ROWS_PER_BATCH + n
+
+
+def test_loop_of_5000_comes_in_bounded_frames():
+    n = 5_000
+    total, far, longest = _longest_frame([(i, (i + 1) % n) for i in range(n)], slices=3)
+    assert total == n * n and far == n * n * (n + 1) // 2
+    assert longest < H.ROWS_PER_BATCH + n
+
+
+@given(st.lists(st.tuples(st.integers(1, 12), st.integers(1, 12)), max_size=30), st.integers(0, 6))
+@settings(max_examples=300, deadline=None, suppress_health_check=list(HealthCheck))
+def test_walk_that_remembers_little_against_brute_force(pairs, remember):
+    parents = {}
+    for c, p in set(pairs):
+        parents.setdefault(c, []).append(p)
+    got = [(node, up, far) for node, own in H._reached(parents, remember) for up, far in own.items()]
+    assert set(got) == brute(pairs) and len(got) == len(set(got))
+
+
+@pytest.mark.parametrize("name", GRAPHS)
+def test_sliced_components_against_brute_force(spark, monkeypatch, name):
+    monkeypatch.setattr(H, "LINKS_PER_SLICE", 2)
+    clean = [(c, p) for c, p in GRAPHS[name] if c is not None and p is not None]
+    found, loops = H.ancestors(spark.createDataFrame(GRAPHS[name], "child long, parent long"))
+    want = brute(clean)
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    pairs = {(n, a) for n, a, _ in want}
+    assert sorted(map(tuple, loops.collect())) == sorted({(c, p) for c, p in clean if (p, c) in pairs})
+
+
 def test_hierarchy_and_paths(spark):
     links = spark.createDataFrame([(2, 1), (3, 2), (4, 4)], "child long, parent long")
     closure, _ = H.ancestors(links)
