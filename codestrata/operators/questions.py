@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codestrata.operators.store import newest_contents
+from codestrata.session import Stage
+
 # Intent patterns in the order they are tried.
 INTENTS = (
     (r"重构.*需要.*修改|需要同步修改", "impact"),
@@ -55,6 +58,15 @@ def keywords(question: Column) -> Column:
     return F.transform(F.array_sort(ranked), lambda s: s["word"])
 
 
+def raw_keyword(question: Column) -> Column:
+    """The identifier a question is about: quoted, else named, else the longest with a dot, else the longest; null if there is none."""
+    quoted = F.get(F.regexp_extract_all(question, F.lit('["「」]([^"「」]+)["「」]'), 1), 0)
+    named = F.nullif(F.regexp_extract(question, r"(?:函数|方法|接口)\s*[:：]?\s*([a-zA-Z_][a-zA-Z0-9_.]*)", 1), F.lit(""))
+    words = F.regexp_extract_all(question, F.lit("([a-zA-Z_][a-zA-Z0-9_.]+)"), 1)
+    ranked = F.transform(words, lambda w, i: F.struct((~F.contains(w, F.lit("."))).alias("plain"), (-F.length(w)).alias("size"), i.alias("at"), w.alias("word")))
+    return F.coalesce(quoted, named, F.get(F.array_sort(ranked), 0)["word"])
+
+
 def questions(items: DataFrame) -> DataFrame:
     """item_id, detected intent, whether it is the expected one, and the keywords joined by spaces."""
     found = intent(F.col("question"))
@@ -101,6 +113,48 @@ def context_budget(retrieved: DataFrame, budget: int = MAX_CONTEXT) -> DataFrame
     )
 
 
+def question_retrieval(items: DataFrame, files: DataFrame, contents: DataFrame, stage: Stage, n: int = MAX_FILES) -> DataFrame:
+    """item_id, rank, file_id, tier, hits, path, size and blank: the n files read for each question.
+
+    Of the files with content those count whose base name contains the
+    keyword's (tier 1), else those whose text does in any case, by hits (2),
+    else all by bytes (3), as for a question without keyword; ties by file_id.
+    The keywords are few, so they are made distinct before they meet the texts.
+    """
+    known = files.where("file_id is not null and path is not null").groupBy("file_id").agg(F.min("path").alias("path"))
+    texts = stage.keep(newest_contents(contents).join(known, "file_id").select(
+        "file_id", "path", "content", F.element_at(F.split("path", "/"), -1).alias("name"), F.length("content").alias("size"),
+        F.octet_length("content").alias("bytes"), (~F.col("content").rlike(r"\S")).alias("blank")))
+    asked = stage.keep(items.select("item_id", raw_keyword(F.col("question")).alias("word")))
+    words = asked.select("word").distinct()
+    shown = ["file_id", "path", "size", "blank"]
+
+    def best(rows: DataFrame, tier: int, order: list) -> DataFrame:
+        at = F.row_number().over(Window.partitionBy("word").orderBy(*order, "file_id"))
+        return stage.keep(rows.withColumn("rank", at).where(F.col("rank") <= n).select("word", "rank", F.lit(tier).alias("tier"), "hits", *shown))
+
+    based = F.broadcast(words.withColumn("base", F.element_at(F.split("word", "/"), -1)).where("base <> ''"))
+    named = best(texts.drop("content").join(based, F.contains("name", F.col("base"))).withColumn("hits", F.lit(0)), 1, [])
+    rest = F.broadcast(words.where("word is not null").join(named, "word", "left_anti").withColumn("low", F.lower("word")))
+    count = (F.length("text") - F.length(F.replace("text", F.col("low"), F.lit("")))) / F.length("low")
+    held = texts.select(*shown, F.lower("content").alias("text")).join(rest, F.contains("text", F.col("low")))
+    held = best(held.select("word", *shown, count.cast("int").alias("hits")), 2, [F.desc("hits")])
+    found = named.unionByName(held)
+    small = texts.orderBy("bytes", "file_id").limit(n).select(*shown, "bytes", F.lit(0).alias("hits"))
+    found = found.unionByName(best(words.join(found, "word", "left_anti").crossJoin(small), 3, ["bytes"]))
+    return asked.alias("a").join(found.alias("f"), F.col("a.word").eqNullSafe(F.col("f.word"))).select(
+        "item_id", "rank", "file_id", "tier", "hits", "path", "size", "blank")
+
+
+def question_budget(retrieved: DataFrame, budget: int = MAX_CONTEXT) -> DataFrame:
+    """item_id, rank, file_id, block and taken: characters of each file's block, with its head line, that fit a question's budget."""
+    order = Window.partitionBy("item_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    block = F.length(F.concat(F.lit("===== FILE: "), "path", F.lit(" =====\n"))) + F.col("size")
+    blocks = retrieved.where("not blank").withColumn("block", block).withColumn("before", F.coalesce(F.sum("block").over(order), F.lit(0)))
+    return blocks.where(F.col("before") < budget).select(
+        "item_id", "rank", "file_id", "block", F.least(F.col("block"), F.lit(budget) - F.col("before")).alias("taken"))
+
+
 def call_words(contents: DataFrame, functions: DataFrame) -> DataFrame:
     """Per file: distinct words called, and how many of them are names of functions."""
     words = contents.where("content is not null").select(

@@ -169,6 +169,10 @@ def _budget(b: Bound) -> DataFrame:
     return questions.context_budget(questions.naive_retrieval(b.graph.file_contents, WORD))
 
 
+def _retrieval(b: Bound) -> DataFrame:
+    return questions.question_retrieval(_items(b), b.graph.files, b.graph.file_contents, Stage(b.spark, "retrieval"))
+
+
 def _scripts(b: Bound) -> DataFrame:
     """First script element of the contents that hold one (or other markup)."""
     body = vue_script(F.col("content"))
@@ -245,6 +249,8 @@ def queries() -> dict:
         "question_functions": lambda b: questions.question_functions(_items(b), b.functions),
         "naive_retrieval": lambda b: questions.naive_retrieval(b.graph.file_contents, WORD),
         "context_budget": _budget,
+        "question_retrieval": lambda b: _retrieval(b).select("item_id", "rank", "file_id", "tier", "hits", "size"),
+        "question_budget": lambda b: questions.question_budget(_retrieval(b)),
         "call_words": lambda b: questions.call_words(b.graph.file_contents, b.functions),
         "citation_gate": lambda b: questions.citation_gate(b.answers(), b.graph.files),
         "eval_scores": _scores,
