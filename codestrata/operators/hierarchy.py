@@ -260,30 +260,39 @@ def loop_links(closure: DataFrame, links: DataFrame) -> DataFrame:
     return links.select("child", "parent").distinct().join(ways_back, ["child", "parent"], "left_semi")
 
 
-def hierarchy(closure: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, depth, root, descendants, is_cyclic) of every node of ``links``.
+def cycles(loops: DataFrame, stage: Stage) -> DataFrame:
+    """(cycle, child, parent): the links on loops by strongly connected component, named by its least node.
 
-    depth is the greatest least-distance to any ancestor, 0 for a root; root
-    is the least node without parents above, null where a node stands only
-    below cycles; descendants counts distinct nodes below.
+    Both ends of a link on a loop reach each other, so the components of these
+    links, whatever their direction, are the strongly connected ones.
     """
-    nodes = links.select(F.col("child").alias("node")).union(links.select("parent")).where("node is not null").distinct()
-    tops = nodes.join(links.select(F.col("child").alias("node")), "node", "left_anti").select(F.col("node").alias("ancestor"), F.lit(True).alias("_top"))
-    above = (
-        closure.join(tops, "ancestor", "left").groupBy("node")
-        .agg(F.max("distance").alias("depth"), F.min(F.when(F.col("_top"), F.col("ancestor"))).alias("_root"),
-             F.max((F.col("node") == F.col("ancestor")).cast("int")).alias("_loop"))
+    loops = stage.keep(loops)
+    named = components(loops, stage).select(F.col("node").alias("child"), F.col("component").alias("cycle"))
+    return loops.join(named, "child").select("cycle", "child", "parent")
+
+
+def hierarchy(closure: DataFrame, links: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(node, depth, root, descendants, is_cyclic), a row for each root of every node of ``links`` and of ``nodes``.
+
+    depth is the greatest least-distance to any ancestor, 0 for a root; roots
+    are the nodes without parents above, a node without parents is its own;
+    root is null where a node stands only below cycles; descendants counts
+    distinct nodes below.
+    """
+    every = links.select(F.col("child").alias("node")).union(links.select("parent"))
+    every = (every if nodes is None else every.union(nodes.select("node"))).where("node is not null").distinct()
+    children = links.where("child is not null and parent is not null").select(F.col("child").alias("node"))
+    tops = every.join(children, "node", "left_anti")
+    above = closure.groupBy("node").agg(F.max("distance").alias("depth"), F.max((F.col("node") == F.col("ancestor")).cast("int")).alias("_loop"))
+    roots = (
+        closure.join(tops.select(F.col("node").alias("ancestor")), "ancestor", "left_semi").select("node", F.col("ancestor").alias("root"))
+        .union(tops.select("node", F.col("node").alias("root")))
     )
     below = closure.groupBy(F.col("ancestor").alias("node")).agg(F.count(F.lit(1)).alias("descendants"))
     return (
-        nodes.join(above, "node", "left").join(below, "node", "left")
-        .join(tops.withColumnsRenamed({"ancestor": "node", "_top": "_is_top"}), "node", "left")
-        .select(
-            "node", F.coalesce("depth", F.lit(0)).alias("depth"),
-            F.when(F.col("_is_top"), F.col("node")).otherwise(F.col("_root")).alias("root"),
-            F.coalesce("descendants", F.lit(0)).alias("descendants"),
-            (F.coalesce("_loop", F.lit(0)) == 1).alias("is_cyclic"),
-        )
+        every.join(above, "node", "left").join(below, "node", "left").join(roots, "node", "left")
+        .select("node", F.coalesce("depth", F.lit(0)).alias("depth"), "root", F.coalesce("descendants", F.lit(0)).alias("descendants"),
+                (F.coalesce("_loop", F.lit(0)) == 1).alias("is_cyclic"))
     )
 
 

@@ -41,16 +41,25 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_hierarchy(spark: SparkSession, folder: str) -> DataFrame:
-    """Depth, root, number of descendants and membership of a loop, for each class and function with links."""
-    stage = Stage(spark, "p2")
-    links = _graph_links(Graph(spark, folder), stage)
+    """Depth, roots, number of descendants and membership of a loop; a row for each root of every latest class and function."""
+    stage, graph = Stage(spark, "p2"), Graph(spark, folder)
+    links = _graph_links(graph, stage)
     rows, _ = H.ancestors(links, stage=stage)
-    return H.hierarchy(stage.keep(rows), links).select(
+    nodes = graph.latest_functions().select((F.col("func_id") * 2 + 1).alias("node")).union(graph.latest_classes().select(F.col("class_id") * 2))
+    return H.hierarchy(stage.keep(rows), links, nodes).select(
         _kind(F.col("node")).alias("rec_kind"), _id(F.col("node")).alias("node_id"), "depth",
         _id(F.col("root")).alias("root_id"), "descendants", "is_cyclic",
     )
 
 
+def p2_cycles(spark: SparkSession, folder: str) -> DataFrame:
+    """The links on loops, by strongly connected component."""
+    stage = Stage(spark, "p2")
+    _, loops = H.ancestors(_graph_links(Graph(spark, folder), stage), stage=stage)
+    return H.cycles(loops, stage).select(
+        _kind(F.col("child")).alias("rec_kind"), _id(F.col("cycle")).alias("cycle_id"), _id(F.col("child")).alias("node_id"), _id(F.col("parent")).alias("parent_id"))
+
+
 def p2_paths(spark: SparkSession, folder: str) -> DataFrame:
     """For each node and ancestor the next node on a shortest path, which spells out every path."""
     stage = Stage(spark, "p2")
@@ -100,5 +109,5 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (p2_found, p2_hierarchy, p2_paths, p5_found, p5_report, p7_found)
+    own = (p2_found, p2_hierarchy, p2_cycles, p2_paths, p5_found, p5_report, p7_found)
     return {f.__name__: f for f in own}

@@ -140,3 +140,29 @@ def test_p2_found_over_tables(spark, folder):
         ("call", 2, 1, 1), ("call", 3, 2, 1), ("call", 3, 1, 2), ("call", 1, 4, 1), ("call", 2, 4, 2), ("call", 3, 4, 3),
         ("class", 1, 2, 1), ("class", 2, 2, 1),
     ], key=repr)
+
+
+@pytest.mark.parametrize("most", [H.MAX_COMPONENT_LINKS, 2])
+def test_cycles_have_one_definition_at_every_size(spark, most):
+    from codestrata.session import Stage
+
+    pairs = [(1, 2), (2, 3), (3, 1), (1, 3), (3, 4), (4, 5), (5, 4), (6, 1), (7, 7), (8, 9)]
+    _, loops = H.ancestors(spark.createDataFrame(pairs, "child long, parent long"), max_component=most)
+    got = rows(H.cycles(loops, Stage(spark, "cycles")), "cycle", "child", "parent")
+    assert got == [(1, 1, 2), (1, 1, 3), (1, 2, 3), (1, 3, 1), (4, 4, 5), (4, 5, 4), (7, 7, 7)]
+
+
+def test_p2_hierarchy_has_every_record_and_root(spark, folder):
+    fn = lambda i, q: {"snapshot_no": 1, "func_id": i, "file_id": 1, "name": q, "qualified_name": q, "start_line": i, "end_line": i}
+    d = folder(
+        files=[{"file_id": 1, "path": "p/a.py", "name": "a.py", "project": "p"}],
+        functions=[fn(1, "one"), fn(2, "two"), fn(3, "both"), fn(4, "alone"), fn(5, "again")],
+        classes=[{"snapshot_no": 1, "class_id": 1, "file_id": 1, "name": "Lone", "qualified_name": "Lone"}],
+        call_edges=[{"edge_id": i, "caller_func_id": a, "callee_name": b} for i, (a, b) in enumerate([(1, "both"), (2, "both"), (5, "again")])],
+    )
+    got = rows(problems.p2_hierarchy(spark, d), "rec_kind", "node_id", "depth", "root_id", "descendants", "is_cyclic")
+    assert got == sorted([
+        ("call", 1, 0, 1, 1, False), ("call", 2, 0, 2, 1, False), ("call", 3, 1, 1, 0, False), ("call", 3, 1, 2, 0, False),
+        ("call", 4, 0, 4, 0, False), ("call", 5, 1, None, 1, True), ("class", 1, 0, 1, 0, False),
+    ], key=repr)
+    assert rows(problems.p2_cycles(spark, d), "rec_kind", "cycle_id", "node_id", "parent_id") == [("call", 5, 5, 5)]
