@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codestrata.functions.names import module_name
+from codestrata.session import Stage
 
 MAX_CYCLE = 4
 
@@ -93,6 +94,34 @@ def cycles(deps: DataFrame, longest: int = MAX_CYCLE) -> DataFrame:
     return found
 
 
+def rings(deps: DataFrame, stage: Stage) -> DataFrame:
+    """project, ring, module and modules: every module on a cycle of any length, by strongly connected component.
+
+    A ring is named by its least module; modules is its size. Each round joins
+    what is reached with itself, so the rounds follow the logarithm of the
+    longest way, until nothing is new.
+    """
+    reach = stage.keep(deps.select("project", "from_module", "to_module").distinct())
+    size, last = reach.count(), -1
+    while size > last:
+        onward = reach.select("project", "from_module", F.col("to_module").alias("mid")).join(
+            reach.select("project", F.col("from_module").alias("mid"), "to_module"), ["project", "mid"])
+        reach = stage.keep(reach.union(onward.select("project", "from_module", "to_module")).distinct())
+        size, last = reach.count(), size
+    back = reach.select("project", F.col("to_module").alias("from_module"), F.col("from_module").alias("to_module"))
+    return (
+        reach.join(back, ["project", "from_module", "to_module"]).groupBy("project", F.col("from_module").alias("module"))
+        .agg(F.min("to_module").alias("ring"), F.count(F.lit(1)).alias("modules")).select("project", "ring", "module", "modules")
+    )
+
+
+def ring_stats(all_modules: DataFrame, found: DataFrame) -> DataFrame:
+    """Per project: rings, modules on them and the size of the largest."""
+    sums = found.groupBy("project").agg(F.count_distinct("ring").alias("rings"), F.count(F.lit(1)).alias("on_rings"), F.max("modules").alias("largest"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return all_modules.select("project").distinct().join(sums, "project", "left").select("project", zero("rings"), zero("on_rings"), zero("largest"))
+
+
 def module_stats(all_modules: DataFrame, deps: DataFrame, found_cycles: DataFrame) -> DataFrame:
     """Per project: modules, dependencies, modules with any, cycles and orphans."""
     total = all_modules.groupBy("project").agg(F.count(F.lit(1)).alias("total_modules"))

@@ -227,6 +227,8 @@ def queries() -> dict:
         "module_fan": lambda b: modules.fan(b.dependencies()),
         "core_modules": lambda b: modules.core_modules(modules.fan(b.dependencies())),
         "module_cycles": lambda b: modules.cycles(Stage(b.spark, "cycles").keep(b.dependencies())),
+        "module_rings": lambda b: modules.rings(b.dependencies(), Stage(b.spark, "rings")),
+        "module_ring_stats": lambda b: modules.ring_stats(modules.modules(b.graph.files), modules.rings(b.dependencies(), Stage(b.spark, "rings"))),
         "module_layers": _layers,
         "module_stats": _module_stats,
         "module_orphans": lambda b: modules.orphans(modules.modules(b.graph.files), b.dependencies()),
