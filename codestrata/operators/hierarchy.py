@@ -24,127 +24,198 @@ LINKS_PER_SLICE = 2_000
 ROWS_PER_BATCH, MAX_REMEMBERED = 100_000, 1_000_000
 
 
+#: Links that a task contracts at once.
+LINKS_PER_CHUNK = 500_000
+
+
+def _contracted(u: np.ndarray, v: np.ndarray) -> pd.DataFrame:
+    """(node, root) of the nodes of the given links that are not the least of their connected part."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u):]
+    label = np.arange(len(ids))
+    while not np.array_equal(label[a], label[b]):
+        low = np.minimum(label[a], label[b])
+        for end in (label[a], label[b]):
+            np.minimum.at(label, end, low)
+        while not np.array_equal(label[label], label):
+            label = label[label]
+    rest = label != np.arange(len(ids))
+    return pd.DataFrame({"node": ids[rest], "root": ids[label[rest]]})
+
+
+def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Contracts links (node, root) in chunks; rows of one node that stand together stay together."""
+    held, size = [], 0
+    for pdf in batches:
+        held.append(pdf)
+        size += len(pdf)
+        if size >= LINKS_PER_CHUNK:
+            rows = pd.concat(held)
+            last = (rows["node"] == rows["node"].iloc[-1]).to_numpy()
+            cut = len(rows) if last.all() else len(rows) - int(last[::-1].argmin())
+            yield _contracted(rows["node"].to_numpy()[:cut], rows["root"].to_numpy()[:cut])
+            held, size = [rows.iloc[cut:]], len(rows) - cut
+    if size:
+        rows = pd.concat(held)
+        yield _contracted(rows["node"].to_numpy(), rows["root"].to_numpy())
+
+
 def components(links: DataFrame, stage: Stage) -> DataFrame:
     """(node, component) of the undirected graph of ``links`` (child, parent).
 
-    The component is its least node. Each round gives every node the least
-    label among its neighbours and then the label of that label, so the number
-    of rounds follows the logarithm of the diameter in practice. A node of any
-    degree only takes part in a partial ``min``, so hubs need no special care.
+    The component is its least node. Links are contracted to stars where they
+    lie, before anything is shuffled, so a node of any degree sends one row a
+    chunk. Each round then brings the stars of a node together, contracts them
+    again, and lets roots that have a root of their own jump to it, until no
+    node has two roots and no root jumps.
     """
-    both = stage.keep(
-        links.select(F.col("child").alias("u"), F.col("parent").alias("v"))
-        .union(links.select("parent", "child")).where("u <> v").distinct()
-    )
-    alone = links.where("child = parent").select(F.col("child").alias("node"))
-    nodes = links.select(F.col("child").alias("node")).union(links.select("parent")).union(alone).distinct()
-    label = stage.keep(
-        nodes.join(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("least")), "node", "left")
-        .select("node", F.least("node", F.coalesce("least", "node")).alias("component"))
-    )
+    schema = "node long, root long"
+    stars = links.where("child <> parent").select(F.col("child").alias("node"), F.col("parent").alias("root")).mapInPandas(_contract, schema)
     while True:
-        near = (
-            both.join(label, both.u == label.node).groupBy(F.col("v").alias("node"))
-            .agg(F.min("component").alias("least"))
-        )
-        step = label.join(near, "node", "left").select(
-            "node", F.col("component").alias("old"), F.least("component", F.coalesce("least", "component")).alias("component")
-        )
-        jump = step.alias("a").join(label.alias("b"), F.col("a.component") == F.col("b.node")).select(
-            "a.node", "a.old", F.least(F.col("a.component"), F.col("b.component")).alias("component")
+        met = stage.keep(stars.repartition("node").sortWithinPartitions("node").mapInPandas(_contract, schema))
+        least = met.groupBy("node").agg(F.min("root").alias("up"), F.max("root").alias("other"))
+        jumped = stage.keep(
+            met.join(least.select(F.col("node").alias("root"), "up"), "root", "left")
+            .select("node", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("moved"))
         )
-        last, label = label, stage.keep(jump)
-        moved = label.where("component <> old").limit(1).count()
-        stage.drop(last)
-        label_path = label._stage_path
-        if not moved:
-            stage.drop(both)
-            return label.select("node", "component")
-        label = label.select("node", "component")
-        label._stage_path = label_path
-
-
-def _colour_walk(parents: dict[int, list[int]]) -> tuple[list[int], list[tuple[int, int]]]:
+        stage.drop(met)
+        label = stage.keep(jumped.groupBy("node").agg(F.min("root").alias("root"), (F.bool_or("moved") | (F.min("root") != F.max("root"))).alias("open")))
+        if not label.where("open").limit(1).count():
+            break
+        stars = jumped.select("node", "root").distinct()
+    nodes = links.select(F.col("child").alias("node")).union(links.select("parent")).distinct()
+    return nodes.join(label, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
+
+
+def _colour_walk(parents: dict[int, list[int]]) -> tuple[list[list[int]], list[tuple[int, int]]]:
     """Iterative depth-first walk towards the parents, with white, grey and black nodes.
 
-    Returns the nodes in the order they turn black (every parent before its
-    children, but for back edges) and the back edges (child, parent).
+    Returns the strongly connected parts in the order they turn black (a part
+    after all parts above it) and the back edges (child, grey parent).
     """
-    grey, black, order, back = set(), set(), [], []
+    number: dict[int, int] = {}
+    low: dict[int, int] = {}
+    grey: set[int] = set()
+    unsettled: list[int] = []
+    waiting: set[int] = set()
+    parts, back = [], []
+
+    def enter(node: int) -> tuple[int, Iterator[int]]:
+        number[node] = low[node] = len(number)
+        grey.add(node)
+        unsettled.append(node)
+        waiting.add(node)
+        return node, iter(parents.get(node, ()))
+
     for start in parents:
-        if start in black:
+        if start in number:
             continue
-        grey.add(start)
-        stack = [(start, iter(parents[start]))]
+        stack = [enter(start)]
         while stack:
             node, rest = stack[-1]
             for up in rest:
+                if up not in number:
+                    stack.append(enter(up))
+                    break
                 if up in grey:
                     back.append((node, up))
-                elif up not in black:
-                    grey.add(up)
-                    stack.append((up, iter(parents.get(up, ()))))
-                    break
+                if up in waiting:
+                    low[node] = min(low[node], number[up])
             else:
                 stack.pop()
                 grey.discard(node)
-                black.add(node)
-                order.append(node)
-    return order, back
-
-
-def _nearest(parents: dict[int, list[int]], node: int) -> dict[int, int]:
-    """Least number of steps from ``node`` to each ancestor, by breadth."""
+                if stack:
+                    low[stack[-1][0]] = min(low[stack[-1][0]], low[node])
+                if low[node] == number[node]:
+                    at = len(unsettled) - 1
+                    while unsettled[at] != node:
+                        at -= 1
+                    parts.append(unsettled[at:])
+                    waiting.difference_update(unsettled[at:])
+                    del unsettled[at:]
+    return parts, back
+
+
+def _nearest(parents: dict[int, list[int]], node: int, inside=None) -> dict[int, int]:
+    """Least number of steps from ``node`` to each ancestor, by breadth; only through nodes of ``inside`` if given."""
     reached: dict[int, int] = {}
     queue = deque([(node, 0)])
     while queue:
         at, far = queue.popleft()
         for up in parents.get(at, ()):
-            if up not in reached:
+            if up not in reached and (inside is None or up in inside):
                 reached[up] = far + 1
                 queue.append((up, far + 1))
     return reached
 
 
-def _reached(parents: dict[int, list[int]], remember: int = MAX_REMEMBERED) -> Iterator[tuple[int, dict[int, int]]]:
+def _over(parents: dict[int, list[int]], node: int, above: dict[int, dict[int, int]], inside=()) -> dict[int, int]:
+    """Least steps from ``node`` through its parents outside of ``inside``, whose own ancestors are known."""
+    own: dict[int, int] = {}
+    for up in parents.get(node, ()):
+        if up in inside:
+            continue
+        if own.get(up, 2) > 1:
+            own[up] = 1
+        for far_up, far in above[up].items():
+            if own.get(far_up, far + 2) > far + 1:
+                own[far_up] = far + 1
+    return own
+
+
+def _around(parents: dict[int, list[int]], part: list[int], above: dict[int, dict[int, int]]) -> Iterator[tuple[int, dict[int, int]]]:
+    """(node, least steps to each ancestor) of a part with a cycle: around it, then out of it at the best node."""
+    inside = set(part)
+    exits = {node: _over(parents, node, above, inside) for node in part}
+    for node in part:
+        around = _nearest(parents, node, inside)
+        own = dict(around)
+        for at, far in (around | {node: 0}).items():
+            for up, rest in exits[at].items():
+                if own.get(up, far + rest + 1) > far + rest:
+                    own[up] = far + rest
+        yield node, own
+
+
+def _reached(parents: dict[int, list[int]], remember: int = MAX_REMEMBERED, share: int = 0, shares: int = 1) -> Iterator[tuple[int, dict[int, int]]]:
     """(node, least steps to each ancestor) of one component, node by node, and no more kept than is needed.
 
-    Without back edges a node takes its ancestors from its parents', which are
-    forgotten once all children are black; beyond ``remember`` kept ancestors,
-    and with back edges, a node is searched by breadth.
+    Parts are taken in the order they turn black, so a node finds its
+    ancestors in those of its parents, which are forgotten once all children
+    are black. Of ``shares`` equal runs of parts only run ``share`` is walked; for
+    parents of other runs, and beyond ``remember`` kept ancestors, a node is
+    searched by breadth.
     """
-    order, back = _colour_walk(parents)
-    if back:
-        for node in parents:
-            yield node, _nearest(parents, node)
-        return
+    parts, _ = _colour_walk(parents)
+    parts = parts[len(parts) * share // shares:len(parts) * (share + 1) // shares]
     waiting: dict[int, int] = {}
-    for ups in parents.values():
-        for up in ups:
-            waiting[up] = waiting.get(up, 0) + 1
+    for part in parts:
+        for node in part:
+            for up in parents.get(node, ()):
+                waiting[up] = waiting.get(up, 0) + 1
     above: dict[int, dict[int, int]] = {}
     held = 0
-    for node in order:
-        ups = parents.get(node, ())
-        if all(up in above for up in ups):
-            own: dict[int, int] = {}
-            for up in ups:
-                if own.get(up, 2) > 1:
-                    own[up] = 1
-                for far_up, far in above[up].items():
-                    if own.get(far_up, far + 2) > far + 1:
-                        own[far_up] = far + 1
+    for part in parts:
+        inside = set(part) if len(part) > 1 or part[0] in parents.get(part[0], ()) else ()
+        if not all(up in above or up in inside for node in part for up in parents.get(node, ())):
+            found = ((node, _nearest(parents, node)) for node in part)
+        elif inside:
+            found = _around(parents, part, above)
         else:
-            own = _nearest(parents, node)
-        for up in ups:
-            waiting[up] -= 1
-            if not waiting[up]:
-                held -= len(above.pop(up, ()))
-        if waiting.get(node) and held + len(own) <= remember:
-            above[node] = own
-            held += len(own)
-        if own:
-            yield node, own
+            found = [(part[0], _over(parents, part[0], above))]
+        kept = []
+        for node, own in found:
+            if waiting.get(node) and held + len(own) <= remember:
+                kept.append((node, own))
+                held += len(own)
+            if own:
+                yield node, own
+        above.update(kept)
+        for node in part:
+            for up in parents.get(node, ()):
+                waiting[up] -= 1
+                if not waiting[up]:
+                    held -= len(above.pop(up, ()))
 
 
 def _component_rows(parents: dict[int, list[int]]) -> tuple[list, list]:
@@ -170,7 +241,7 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows of the components of a partition, in frames of a bounded number of rows.
 
     The links are sorted by component and slice. A slice of a component sees
-    all of its links and starts from every so many of its nodes.
+    all of its links and walks its share of the nodes.
     """
     nodes, ups, fars, size = [], [], [], 0
 
@@ -178,11 +249,7 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return pd.DataFrame({"node": np.concatenate(nodes), "ancestor": np.concatenate(ups), "distance": np.concatenate(fars)})
 
     for part, slices, parents in _parts(batches):
-        if slices > 1:
-            found = ((node, _nearest(parents, node)) for i, node in enumerate(parents) if i % slices == part)
-        else:
-            found = _reached(parents)
-        for node, own in found:
+        for node, own in _reached(parents, share=part, shares=slices):
             n = len(own)
             nodes.append(np.full(n, node, "int64"))
             ups.append(np.fromiter(own.keys(), "int64", n))
@@ -196,24 +263,23 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _grow(links: DataFrame, stage: Stage) -> DataFrame:
-    """(node, ancestor, distance) by rounds of joins, for components of any size."""
-    frontier = stage.keep(links.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).distinct())
-    far, known = 1, []
-    up = links.select(F.col("child").alias("ancestor"), F.col("parent").alias("next"))
-    while frontier.limit(1).count():
-        known.append(frontier.withColumn("distance", F.lit(far)))
-        seen = known[0].select("node", "ancestor")
-        for k in known[1:]:
-            seen = seen.union(k.select("node", "ancestor"))
-        following = frontier.join(up, "ancestor").select("node", F.col("next").alias("ancestor")).distinct()
-        frontier = stage.keep(following.join(seen, ["node", "ancestor"], "left_anti"))
-        far += 1
-    if not known:
-        return links.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(0).alias("distance")).limit(0)
-    all_known = known[0]
-    for k in known[1:]:
-        all_known = all_known.union(k)
-    return all_known
+    """(node, ancestor, distance) by joins, for components of any size.
+
+    What is known up to a distance d doubles each round: a least way of d + k
+    steps is one of exactly d and one of k, so only pairs at distance d meet
+    the known ones, and the rounds follow the logarithm of the longest way.
+    """
+    known = stage.keep(links.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).distinct().withColumn("distance", F.lit(1)))
+    far = 1
+    while True:
+        ends = known.where(F.col("distance") == far).select("node", F.col("ancestor").alias("mid"))
+        onward = known.select(F.col("node").alias("mid"), "ancestor", F.col("distance").alias("rest"))
+        further = ends.join(onward, "mid").groupBy("node", "ancestor").agg((F.min("rest") + far).alias("distance"))
+        fresh = stage.keep(further.join(known.select("node", "ancestor"), ["node", "ancestor"], "left_anti"))
+        far *= 2
+        if not fresh.limit(1).count():
+            return known
+        known = stage.keep(known.unionByName(fresh))
 
 
 def ancestors(links: DataFrame, max_component: int = MAX_COMPONENT_LINKS, stage: Stage | None = None) -> tuple[DataFrame, DataFrame]:
@@ -225,10 +291,10 @@ def ancestors(links: DataFrame, max_component: int = MAX_COMPONENT_LINKS, stage:
     ends and repeated links count for nothing; no links give empty results.
 
     Components are found first and each is co-located: tasks walk buckets of
-    whole components depth-first with node colours and hand on rows as they
-    find them. The starts of a component above ``LINKS_PER_SLICE`` links are
-    spread over tasks. Components above ``max_component`` links are never
-    brought together: they grow by joins.
+    whole components depth-first with node colours, condense cycles to one
+    part, and hand on rows as they find them. The nodes of a component above
+    ``LINKS_PER_SLICE`` links are spread over tasks. Components above
+    ``max_component`` links are never brought together: they grow by joins.
     """
     stage = stage or Stage(links.sparkSession, "hierarchy")
     links = stage.keep(links.select("child", "parent").where("child is not null and parent is not null").distinct())
@@ -282,11 +348,11 @@ def hierarchy(closure: DataFrame, links: DataFrame, nodes: DataFrame | None = No
     every = links.select(F.col("child").alias("node")).union(links.select("parent"))
     every = (every if nodes is None else every.union(nodes.select("node"))).where("node is not null").distinct()
     children = links.where("child is not null and parent is not null").select(F.col("child").alias("node"))
-    tops = every.join(children, "node", "left_anti")
+    top = every.join(children, "node", "left_anti")
     above = closure.groupBy("node").agg(F.max("distance").alias("depth"), F.max((F.col("node") == F.col("ancestor")).cast("int")).alias("_loop"))
     roots = (
-        closure.join(tops.select(F.col("node").alias("ancestor")), "ancestor", "left_semi").select("node", F.col("ancestor").alias("root"))
-        .union(tops.select("node", F.col("node").alias("root")))
+        closure.join(top.select(F.col("node").alias("ancestor")), "ancestor", "left_semi").select("node", F.col("ancestor").alias("root"))
+        .union(top.select("node", F.col("node").alias("root")))
     )
     below = closure.groupBy(F.col("ancestor").alias("node")).agg(F.count(F.lit(1)).alias("descendants"))
     return (
@@ -296,6 +362,36 @@ def hierarchy(closure: DataFrame, links: DataFrame, nodes: DataFrame | None = No
     )
 
 
+def path_ends(closure: DataFrame) -> DataFrame:
+    """(ancestor): where the ways up end: ancestors without parents, and the least node of each cycle with no way out.
+
+    Each ancestor of such an end has it as an ancestor too, and none is less.
+    """
+    back = closure.select(F.col("ancestor").alias("node"), F.col("node").alias("ancestor"), F.lit(True).alias("mutual"))
+    above = closure.join(back, ["node", "ancestor"], "left").groupBy("node").agg(
+        F.count("mutual").alias("around"), F.count(F.lit(1)).alias("all"), F.min("ancestor").alias("least"))
+    below = above.where((F.col("around") < F.col("all")) | (F.col("least") < F.col("node"))).select(F.col("node").alias("ancestor"))
+    return closure.select("ancestor").distinct().join(below, "ancestor", "left_anti")
+
+
+def root_paths(steps: DataFrame, ends: DataFrame, stage: Stage) -> DataFrame:
+    """(node, root, distance, path): a shortest path, node first and root last, to each of ``ends`` above a node.
+
+    ``steps`` are the rows of ``shortest_paths``, ``ends`` those of
+    ``path_ends``. A path takes the least parent
+    at each step. Each round joins every unfinished path with the one that
+    begins where it ends, so paths double and the rounds follow the logarithm
+    of the greatest depth.
+    """
+    rooted = steps.join(ends, "ancestor", "left_semi").where("node <> ancestor")
+    paths = stage.keep(rooted.select("node", F.col("ancestor").alias("root"), "distance", F.array("node", "next").alias("path")))
+    while paths.where("element_at(path, -1) <> root").limit(1).count():
+        onward = paths.select(F.col("node").alias("end"), "root", F.slice("path", 2, F.size("path")).alias("rest"))
+        longer = paths.withColumn("end", F.element_at("path", -1)).join(onward, ["end", "root"], "left")
+        paths = stage.keep(longer.select("node", "root", "distance", F.concat("path", F.coalesce("rest", F.array().cast("array<long>"))).alias("path")))
+    return paths
+
+
 def shortest_paths(closure: DataFrame, links: DataFrame) -> DataFrame:
     """(node, ancestor, distance, next): the least parent of ``node`` on a shortest way to ``ancestor``.
 

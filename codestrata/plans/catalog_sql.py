@@ -217,9 +217,36 @@ orphan AS (
 """)
 
 
+_HIERARCHY = r"""@ called AS (
+  SELECT DISTINCT func_id AS caller, project, replace(callee_name, '::', '.') AS n, CASE WHEN contains(qualified_name, '.') THEN regexp_extract(qualified_name, '^(.*)\.[^.]*$', 1) END AS owner
+  FROM call_edges JOIN fn ON func_id = caller_func_id WHERE callee_name IS NOT NULL),
+tails AS (
+  SELECT caller, project, owner || '.' || regexp_extract(n, '^(?:self|this)\.(.*)$', 1) AS q FROM called WHERE regexp_matches(n, '^(self|this)\.')
+  UNION SELECT caller, project, array_to_string(list_slice(p, i, len(p)), '.') FROM (
+    SELECT caller, project, p, unnest(generate_series(1, len(p))) AS i FROM (SELECT *, string_split(n, '.') AS p FROM called WHERE NOT regexp_matches(n, '^(self|this)\.')))),
+named AS (
+  SELECT DISTINCT class_id, project, trim(split_part(replace(regexp_replace(entry, '[\[<({].*$', ''), '::', '.'), '.', -1)) AS name FROM (SELECT class_id, project, unnest(base_classes) AS entry FROM cl)),
+links AS (
+  SELECT DISTINCT 'call' AS rec_kind, func_id AS child, caller AS parent FROM tails JOIN fn ON fn.project = tails.project AND qualified_name = q
+  WHERE coalesce(name, '') <> 'main' AND NOT regexp_matches(qualified_name, '(^|\.)main$')
+  UNION SELECT 'class', n.class_id, cl.class_id FROM named n JOIN cl ON cl.project = n.project AND cl.name = n.name WHERE n.name <> ''),
+up(rec_kind, node_id, ancestor_id, distance) USING KEY (rec_kind, node_id, ancestor_id) AS (
+  SELECT rec_kind, child, parent, 1::INT FROM links
+  UNION SELECT up.rec_kind, node_id, parent, (min(distance) + 1)::INT FROM up JOIN links ON links.rec_kind = up.rec_kind AND child = ancestor_id
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.up s WHERE s.rec_kind = up.rec_kind AND s.node_id = up.node_id AND s.ancestor_id = parent) GROUP BY ALL),
+recs2 AS (SELECT 'call' AS rec_kind, func_id AS node_id FROM fn UNION SELECT 'class', class_id FROM cl),
+top AS (SELECT * FROM recs2 r WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.rec_kind = r.rec_kind AND l.child = r.node_id)),
+roots AS (SELECT up.rec_kind, up.node_id, ancestor_id AS root_id FROM up JOIN top ON top.rec_kind = up.rec_kind AND top.node_id = ancestor_id UNION ALL SELECT rec_kind, node_id, node_id FROM top),
+above AS (SELECT rec_kind, node_id, max(distance) AS depth, bool_or(node_id = ancestor_id) AS looped FROM up GROUP BY ALL),
+below AS (SELECT rec_kind, ancestor_id AS node_id, count(*) AS n FROM up GROUP BY ALL)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     r = True
     return {
+        "p2_found": _sql(_HIERARCHY + "SELECT rec_kind, node_id, ancestor_id, distance FROM up", r),
+        "p2_hierarchy": _sql(_HIERARCHY + "SELECT rec_kind, node_id, coalesce(depth, 0) AS depth, root_id, coalesce(n, 0) AS descendants, coalesce(looped, false) AS is_cyclic FROM recs2 LEFT JOIN above USING (rec_kind, node_id) LEFT JOIN below USING (rec_kind, node_id) LEFT JOIN roots USING (rec_kind, node_id)", r),
         "p5_found": f"{P5_SQL} SELECT DISTINCT edge_id, ref_field FROM orphan",
         "p5_report": f"{P5_SQL} SELECT 'call_edges' AS table_name, ref_field, period::VARCHAR AS period, count(*) AS orphans FROM orphan GROUP BY ALL",
         "p7_found": _sql("SELECT kind AS rec_kind, path, name AS rec_name, snapshot_no, change_kind FROM steps WHERE change_kind <> 'same'"),

@@ -71,6 +71,19 @@ def p2_paths(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p2_root_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """For each node and each root (or closed cycle) above it one whole shortest path, node first and root last, as ids."""
+    stage = Stage(spark, "p2")
+    links = _graph_links(Graph(spark, folder), stage)
+    rows, _ = H.ancestors(links, stage=stage)
+    rows = stage.keep(rows)
+    found = H.root_paths(H.shortest_paths(rows, links), H.path_ends(rows), stage)
+    return found.select(
+        _kind(F.col("node")).alias("rec_kind"), _id(F.col("node")).alias("node_id"), _id(F.col("root")).alias("root_id"), "distance",
+        F.array_join(F.transform("path", lambda n: _id(n).cast("string")), ">").alias("path"),
+    )
+
+
 def _orphans(spark: SparkSession, folder: str) -> DataFrame:
     graph, stage = Graph(spark, folder), Stage(spark, "p5")
     latest = stage.keep(graph.latest())
@@ -109,5 +122,5 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (p2_found, p2_hierarchy, p2_cycles, p2_paths, p5_found, p5_report, p7_found)
+    own = (p2_found, p2_hierarchy, p2_cycles, p2_paths, p2_root_paths, p5_found, p5_report, p7_found)
     return {f.__name__: f for f in own}

@@ -166,3 +166,41 @@ def test_p2_hierarchy_has_every_record_and_root(spark, folder):
         ("call", 4, 0, 4, 0, False), ("call", 5, 1, None, 1, True), ("class", 1, 0, 1, 0, False),
     ], key=repr)
     assert rows(problems.p2_cycles(spark, d), "rec_kind", "cycle_id", "node_id", "parent_id") == [("call", 5, 5, 5)]
+
+
+@pytest.mark.parametrize("most", [H.MAX_COMPONENT_LINKS, 2])
+def test_root_paths_of_trees_and_closed_cycles(spark, most):
+    from codestrata.session import Stage
+
+    pairs = [(2, 1), (3, 1), (4, 2), (4, 3), (5, 4), (6, 7), (7, 8), (8, 7), (9, 6), (8, 10), (11, 12), (12, 13), (13, 12)]
+    links = spark.createDataFrame(pairs, "child long, parent long")
+    closure, _ = H.ancestors(links, max_component=most)
+    got = rows(H.root_paths(H.shortest_paths(closure, links), H.path_ends(closure), Stage(spark, "paths")), "node", "root", "distance", "path")
+    want = {2: [2, 1], 3: [3, 1], 4: [4, 2, 1], 5: [5, 4, 2, 1], 6: [6, 7, 8, 10], 7: [7, 8, 10], 8: [8, 10], 9: [9, 6, 7, 8, 10], 11: [11, 12], 13: [13, 12]}
+    assert got == sorted(((n, p[-1], len(p) - 1, p) for n, p in want.items()), key=repr)
+
+
+def test_long_chain_and_loop_by_joins(spark):
+    n = 300
+    pairs = [(i, i - 1) for i in range(1, n)] + [(1000 + i, 1000 + (i + 1) % 40) for i in range(40)]
+    got = H.ancestors(spark.createDataFrame(pairs, "child long, parent long"), max_component=2)[0]
+    assert {tuple(r) for r in got.collect()} == brute(pairs) and got.count() == len(brute(pairs))
+
+
+def test_components_against_brute_force(spark, monkeypatch):
+    import random
+
+    from codestrata.session import Stage
+
+    monkeypatch.setattr(H, "LINKS_PER_CHUNK", 7)
+    rng = random.Random(5)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(500 + i, 501 + i) for i in range(90)] + [(7, 700 + i) for i in range(60)] + [(900, 900)]
+    label = {n: n for p in pairs for n in p}
+    for _ in range(len(label)):
+        before = dict(label)
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+        if label == before:
+            break
+    links = spark.createDataFrame(pairs, "child long, parent long").repartition(5)
+    assert rows(H.components(links, Stage(spark, "components")), "node", "component") == sorted(label.items(), key=repr)
