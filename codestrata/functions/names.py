@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.sources.tables import dotted
@@ -62,6 +62,30 @@ def refers(callee: Column, callee_spaced: Column, name: Column) -> Column:
     return inside & edge
 
 
+#: Lengths of the character runs by which a text and the words in it meet.
+GRAMS = (8, 3, 2, 1)
+
+
+def texts_holding(texts: DataFrame, text: str, words: DataFrame, word: str) -> DataFrame:
+    """Rows of ``texts`` joined with the rows of ``words`` whose ``word`` stands in ``text``, as it is spelled.
+
+    A word meets the texts by its last 8 characters (the last 3, 2 or 1 of a
+    shorter one), whole words are compared after that, so nothing is broadcast
+    and no pair is compared without a run in common. Null and empty words are
+    in no text. The words should be distinct.
+    """
+    size = F.length(word)
+    gram = F.lit(None).cast("string")
+    for n in sorted(GRAMS):
+        gram = F.when(size >= n, F.right(F.col(word), F.lit(n))).otherwise(gram)
+    asked = words.where(F.col(word).isNotNull() & (size > 0)).withColumn("_gram", gram)
+    runs = F.flatten(F.array(*[
+        F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(F.col(text), i, F.lit(n))))
+        .otherwise(F.array().cast("array<string>")) for n in GRAMS]))
+    met = texts.where(F.col(text).isNotNull()).withColumn("_gram", F.explode(F.array_distinct(runs))).join(asked, "_gram")
+    return met.where(F.contains(F.col(text), F.col(word))).drop("_gram")
+
+
 def base_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 

@@ -48,6 +48,13 @@ def nodes(ranked: DataFrame, limit: int = NODE_LIMIT) -> DataFrame:
     )
 
 
+def search_nodes(shown: DataFrame, word: str) -> DataFrame:
+    """rank and node_id of the nodes whose id contains ``word`` in any letter case, the greatest degree first, ties by id."""
+    hit = shown.where(F.contains(F.lower("node_id"), F.lit(word.lower())))
+    at = F.row_number().over(Window.orderBy(F.desc(F.col("calls") + F.col("called_by")), "node_id"))
+    return hit.select(at.alias("rank"), "node_id")
+
+
 def links(sites: DataFrame, shown: DataFrame) -> DataFrame:
     """(source, target), distinct, between the nodes of ``shown``.
 

@@ -14,9 +14,11 @@ def call_sites(edges: DataFrame, functions: DataFrame) -> DataFrame:
     """caller (qualified name), file, line and callee_name of each distinct edge with a known caller."""
     own = edges.where("callee_name is not null").select("edge_id", "caller_func_id", "callee_name", "caller_line").distinct()
     callers = functions.select(
-        F.col("func_id").alias("caller_func_id"), F.col("qualified_name").alias("caller"), F.col("path").alias("file"), "project"
+        F.col("func_id").alias("caller_func_id"), F.col("qualified_name").alias("caller"), F.col("name").alias("caller_name"),
+        F.col("path").alias("file"), "project"
     )
-    return own.join(callers, "caller_func_id").select("edge_id", "caller", "callee_name", "file", F.col("caller_line").alias("line"), "project")
+    return own.join(callers, "caller_func_id").select(
+        "edge_id", "caller", "caller_name", "callee_name", "file", F.col("caller_line").alias("line"), "project")
 
 
 def callers_of(sites: DataFrame, name: str) -> DataFrame:
@@ -24,14 +26,35 @@ def callers_of(sites: DataFrame, name: str) -> DataFrame:
     return sites.where(refers(F.col("callee_name"), spaced(F.col("callee_name")), F.lit(name))).select("caller", "file", "line")
 
 
+def _made_by() -> Column:
+    """Whether ``target`` stands for the function caller_name, caller.
+
+    It does if it equals either name, or if the qualified name begins or ends
+    with it (as a LIKE pattern, in any letter case) and ends with ``.`` and the
+    target or its last segment.
+    """
+    caller, target = F.col("caller"), F.col("target")
+    simple = simple_name(target)
+    near = F.expr("lower(caller) LIKE concat('%', lower(target)) OR lower(caller) LIKE concat(lower(target), '%')")
+    ends = F.endswith(caller, F.concat(F.lit("."), target)) | ((simple != target) & F.endswith(caller, F.concat(F.lit("."), simple)))
+    return F.coalesce(F.col("caller_name") == target, F.lit(False)) | (caller == target) | (near & ends)
+
+
 def callees_of(sites: DataFrame, name: str) -> DataFrame:
-    """callee and line, distinct, of the calls made by the functions that ``name`` stands for.
+    """callee and line, distinct, of the calls made by the functions that ``name`` stands for (see ``_made_by``)."""
+    return sites.withColumn("target", F.lit(name)).where(_made_by()).select(F.col("callee_name").alias("callee"), "line").distinct()
+
+
+def callees_of_each(sites: DataFrame, names: DataFrame) -> DataFrame:
+    """target, callee and line, distinct, for every qualified name of ``names`` (column ``target``, with a ``.``).
 
-    A function is meant if its qualified name begins or ends with ``name`` and
-    holds it at identifier boundaries.
+    The last segment of such a name is that of every function it stands for,
+    so the two sides meet by it and the exact rule is a residual.
     """
-    meant = refers(F.col("caller"), spaced(F.col("caller")), F.lit(name))
-    return sites.where(meant).select(F.col("callee_name").alias("callee"), "line").distinct()
+    dots = names.where("target is not null").select("target").distinct().withColumn("word", simple_name(F.col("target")))
+    calls = sites.select("caller", F.lit(None).cast("string").alias("caller_name"), "callee_name", "line").distinct()
+    met = calls.withColumn("word", simple_name(F.col("caller"))).join(dots, "word").where(_made_by())
+    return met.select("target", F.col("callee_name").alias("callee"), "line").distinct()
 
 
 def _like(column: Column, word: str) -> Column:
@@ -41,8 +64,10 @@ def _like(column: Column, word: str) -> Column:
 def search_functions(functions: DataFrame, word: str, limit: int = SEARCH_LIMIT) -> DataFrame:
     """The first functions by path and line whose name or qualified name contains ``word`` in any letter case.
 
-    ``%`` and ``_`` in the word stay wildcards. Ties go by func_id.
+    ``%`` and ``_`` in the word stay wildcards. Ties go by func_id. A limit
+    below 1 counts as 1, one above SEARCH_LIMIT as that.
     """
+    limit = min(max(limit, 1), SEARCH_LIMIT)
     hit = functions.where(_like(F.col("name"), word) | _like(F.col("qualified_name"), word))
     return hit.orderBy("path", "start_line", "func_id").limit(limit).select("func_id", "qualified_name", "path", "start_line", "end_line")
 

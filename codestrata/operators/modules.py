@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from codestrata.functions.names import module_name
 from codestrata.session import Stage
 
-MAX_CYCLE = 4
-
 
 def modules(files: DataFrame) -> DataFrame:
     """project, module and number of files."""
@@ -74,23 +72,38 @@ def orphans(all_modules: DataFrame, deps: DataFrame) -> DataFrame:
     return all_modules.select("project", "module").join(linked, ["project", "module"], "left_anti")
 
 
-def cycles(deps: DataFrame, longest: int = MAX_CYCLE) -> DataFrame:
-    """project and cycle (``a->b->a``, least module first) of every elementary cycle of up to ``longest`` modules."""
-    arcs = deps.select("project", "from_module", "to_module").distinct()
+def module_files(files: DataFrame, imports: DataFrame) -> DataFrame:
+    """project, module, files and distinct imports (file and source) of each module."""
+    named = files.withColumn("module", module_name(F.col("path"))).where("module is not null").select("project", "module", "file_id")
+    own = imports.where("source is not null").select("file_id", "source").distinct().groupBy("file_id").agg(F.count(F.lit(1)).alias("imports"))
+    return named.join(own, "file_id", "left").groupBy("project", "module").agg(
+        F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("imports"), F.lit(0)).alias("imports"))
+
+
+def cycles(deps: DataFrame, stage: Stage) -> DataFrame:
+    """project, cycle (``a->b->a``, least module first) and length of every elementary cycle, whatever its length.
+
+    Only dependencies between modules of one ring can lie on a cycle, so paths
+    grow along those alone, round by round, until none can be continued.
+    """
+    ring = rings(deps, stage).select("project", "module", "ring")
+    ends = [ring.select("project", F.col("module").alias(end), "ring") for end in ("from_module", "to_module")]
+    arcs = stage.keep(deps.select("project", "from_module", "to_module").distinct().join(ends[0], ["project", "from_module"])
+                      .join(ends[1], ["project", "to_module", "ring"]).where("from_module <> to_module").select("project", "from_module", "to_module"))
     step = arcs.withColumnsRenamed({"from_module": "last", "to_module": "next"})
     paths = arcs.where("from_module < to_module").select(
         "project", F.array("from_module", "to_module").alias("path"), F.col("to_module").alias("last")
     )
-    found = None
-    for _ in range(longest - 1):
+    found = arcs.limit(0).select("project", F.lit("").alias("cycle"), F.lit(0).alias("length"))
+    while paths.limit(1).count():
         onward = paths.join(step, ["project", "last"])
         closed = onward.where(F.col("next") == F.col("path")[0]).select(
             "project", F.array_join(F.concat("path", F.array("next")), "->").alias("cycle"), F.size("path").alias("length")
         )
-        found = closed if found is None else found.unionByName(closed)
-        paths = onward.where((F.col("next") > F.col("path")[0]) & ~F.array_contains("path", F.col("next"))).select(
+        found = found.unionByName(closed)
+        paths = stage.keep(onward.where((F.col("next") > F.col("path")[0]) & ~F.array_contains("path", F.col("next"))).select(
             "project", F.concat("path", F.array("next")).alias("path"), F.col("next").alias("last")
-        )
+        ))
     return found
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codestrata.functions.names import base_name, texts_holding
 from codestrata.operators.store import newest_contents
+from codestrata.operators.vectors import nearest
 from codestrata.session import Stage
 
 # Intent patterns in the order they are tried.
@@ -31,6 +33,11 @@ INTENTS = (
 )
 # Patterns of citations, call-shaped words, unresolved and truncated answers.
 CITATION = r"\[([^\[\]]*[A-Za-z][^\[\]]*)\]"
+# Patterns of quoted, named, other and capitalised identifiers in a question.
+QUOTED = '["「」]([^"「」]+)["「」]'
+NAMED = r"(?:函数|方法|接口)\s*[:：]?\s*([a-zA-Z_][a-zA-Z0-9_.]*)"
+IDENTIFIER = "([a-zA-Z_][a-zA-Z0-9_.]+)"
+CAPITALISED = "([A-Z][a-zA-Z0-9_]{2,})"
 CALL_WORD = r"\b([a-zA-Z_][a-zA-Z0-9_]{1,})\s*\("
 UNRESOLVED = "无法确定|未找到|没有找到|信息不足|数据不足|不完整"
 TRUNCATED = "__truncated__|已省略|截断"
@@ -49,10 +56,8 @@ def intent(question: Column) -> Column:
 
 def keywords(question: Column) -> Column:
     """Candidate identifiers, distinct, the longest first and equal lengths in order of appearance."""
-    quoted = F.regexp_extract_all(question, F.lit('["「」]([^"「」]+)["「」]'), 1)
-    named = F.regexp_extract(question, r"(?:函数|方法|接口)\s*[:：]?\s*([a-zA-Z_][a-zA-Z0-9_.]*)", 1)
-    words = F.regexp_extract_all(question, F.lit("([a-zA-Z_][a-zA-Z0-9_.]+)"), 1)
-    classes = F.regexp_extract_all(question, F.lit("([A-Z][a-zA-Z0-9_]{2,})"), 1)
+    quoted, words, classes = (F.regexp_extract_all(question, F.lit(p), 1) for p in (QUOTED, IDENTIFIER, CAPITALISED))
+    named = F.regexp_extract(question, NAMED, 1)
     every = F.array_distinct(F.filter(F.concat(quoted, F.array(named), words, classes), lambda w: w != ""))
     ranked = F.transform(every, lambda w, i: F.struct((-F.length(w)).alias("size"), i.alias("at"), w.alias("word")))
     return F.transform(F.array_sort(ranked), lambda s: s["word"])
@@ -60,9 +65,9 @@ def keywords(question: Column) -> Column:
 
 def raw_keyword(question: Column) -> Column:
     """The identifier a question is about: quoted, else named, else the longest with a dot, else the longest; null if there is none."""
-    quoted = F.get(F.regexp_extract_all(question, F.lit('["「」]([^"「」]+)["「」]'), 1), 0)
-    named = F.nullif(F.regexp_extract(question, r"(?:函数|方法|接口)\s*[:：]?\s*([a-zA-Z_][a-zA-Z0-9_.]*)", 1), F.lit(""))
-    words = F.regexp_extract_all(question, F.lit("([a-zA-Z_][a-zA-Z0-9_.]+)"), 1)
+    quoted = F.get(F.regexp_extract_all(question, F.lit(QUOTED), 1), 0)
+    named = F.nullif(F.regexp_extract(question, NAMED, 1), F.lit(""))
+    words = F.regexp_extract_all(question, F.lit(IDENTIFIER), 1)
     ranked = F.transform(words, lambda w, i: F.struct((~F.contains(w, F.lit("."))).alias("plain"), (-F.length(w)).alias("size"), i.alias("at"), w.alias("word")))
     return F.coalesce(quoted, named, F.get(F.array_sort(ranked), 0)["word"])
 
@@ -81,10 +86,10 @@ def question_functions(items: DataFrame, functions: DataFrame) -> DataFrame:
     keywords are few, so they are made distinct before they meet the names.
     """
     asked = items.select("item_id", F.posexplode(keywords(F.col("question"))).alias("at", "word"))
-    words = F.broadcast(asked.select(F.lower("word").alias("low")).distinct())
-    named = functions.select("qualified_name", "path", "start_line", "func_id", F.lower("qualified_name").alias("q"))
-    hit = words.join(named, F.contains(F.col("q"), F.col("low"))).groupBy("low").agg(
+    words = asked.select(F.lower("word").alias("low")).distinct()
+    named = functions.where("qualified_name is not null").groupBy(F.lower("qualified_name").alias("q")).agg(
         F.min(F.struct("path", "start_line", "func_id", "qualified_name")).alias("best"))
+    hit = texts_holding(named, "q", words, "low").groupBy("low").agg(F.min("best").alias("best"))
     return (
         asked.join(hit, F.lower("word") == F.col("low"))
         .groupBy("item_id").agg(F.min(F.struct("at", F.col("best.qualified_name").alias("name"))).alias("m"))
@@ -171,17 +176,29 @@ def claims(answers: DataFrame) -> DataFrame:
         F.contains("statement", F.lit(SPECULATIVE)).alias("speculative"))
 
 
+def valid_paths(*columns: DataFrame) -> DataFrame:
+    """path, distinct: the strings of one-column frames that hold ``.py``, ``/`` or a backslash."""
+    every = columns[0].toDF("path")
+    for c in columns[1:]:
+        every = every.union(c.toDF("path"))
+    return every.where(F.contains("path", F.lit(".py")) | F.contains("path", F.lit("/")) | F.contains("path", F.lit("\\"))).distinct()
+
+
+def cited_files(stated: DataFrame) -> DataFrame:
+    """item_id, claim_no and file of each citation: what stands before its first ``:``."""
+    return stated.select("item_id", "claim_no", F.explode("citations").alias("c")).withColumn("file", F.trim(F.element_at(F.split("c", ":"), 1)))
+
+
 def citation_gate(answers: DataFrame, paths: DataFrame) -> DataFrame:
     """item_id, verified, caught, confidence and passed: whether the cited files exist.
 
-    A citation's file is what stands before its first ``:``; it is valid if it
-    equals a known path or its base name (names are looked up, so no path is
-    compared with every citation). A claim with any bad citation is caught,
+    A citation's file is valid if it stands in a known path, as the whole, the
+    base name or any other part of it. A claim with any bad citation is caught,
     claims without citations count for neither side.
     """
-    stated = claims(answers).where("not speculative")
-    cited = stated.select("item_id", "claim_no", F.explode("citations").alias("c")).withColumn("file", F.trim(F.element_at(F.split("c", ":"), 1)))
-    known = paths.select(F.col("path").alias("file")).union(paths.select(F.element_at(F.split("path", "/"), -1))).distinct().withColumn("valid", F.lit(1))
+    cited = cited_files(claims(answers).where("not speculative"))
+    asked = cited.select("file").distinct()
+    known = texts_holding(paths.select("path").distinct(), "path", asked, "file").select("file").distinct().withColumn("valid", F.lit(1))
     judged = cited.join(known, "file", "left").groupBy("item_id", "claim_no").agg(F.count_if(F.col("valid").isNull()).alias("bad"))
     sums = judged.groupBy("item_id").agg(F.count_if(F.col("bad") == 0).alias("verified"), F.count_if(F.col("bad") > 0).alias("caught"))
     zero = lambda c: F.coalesce(c, F.lit(0))
@@ -209,6 +226,57 @@ def scores(items: DataFrame, answers: DataFrame, gate: DataFrame, counts: DataFr
     return met.select("item_id", "category", F.round(score, 6).alias("score"))
 
 
+def mentioned(answers: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """item_id and result_count: distinct call-shaped words of an answer among the item's ``vocabulary`` (item_id, word)."""
+    said = answers.select("item_id", F.explode(F.array_distinct(F.regexp_extract_all("answer", F.lit(CALL_WORD), 1))).alias("word"))
+    counts = said.join(vocabulary.distinct(), ["item_id", "word"]).groupBy("item_id").agg(F.count(F.lit(1)).alias("result_count"))
+    return answers.select("item_id").distinct().join(counts, "item_id", "left").select("item_id", F.coalesce("result_count", F.lit(0)).alias("result_count"))
+
+
+def baseline_confidence(answers: DataFrame, read: DataFrame) -> DataFrame:
+    """item_id, verified, bad and confidence: a claim with citations is verified if any of them is one of the files ``read`` (item_id, path).
+
+    Few files are read for an item, so the paths are compared per item.
+    """
+    cited = cited_files(claims(answers).where("not speculative")).where("file <> ''")
+    inside = F.contains(F.col("path"), F.col("file")) | (base_name(F.col("path")) == F.col("file"))
+    good = cited.join(read.select("item_id", "path").distinct(), "item_id").where(inside).select("item_id", "claim_no").distinct().withColumn("good", F.lit(1))
+    sums = claims(answers).where("not speculative and size(citations) > 0").select("item_id", "claim_no").join(good, ["item_id", "claim_no"], "left").groupBy(
+        "item_id").agg(F.count("good").alias("verified"), (F.count(F.lit(1)) - F.count("good")).alias("bad"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    confidence = F.coalesce(F.col("verified") / (F.col("verified") + F.col("bad")), F.lit(1.0))
+    return answers.select("item_id").distinct().join(sums, "item_id", "left").select("item_id", zero("verified"), zero("bad"), F.round(confidence, 6).alias("confidence"))
+
+
+def is_empty(results: Column, detail: Column) -> Column:
+    """Whether a look-up gave neither results (a count) nor a detail."""
+    return (F.coalesce(results, F.lit(0)) == 0) & detail.isNull()
+
+
+def fallback_results(items: DataFrame, vectors: DataFrame, stored: DataFrame, n: int = 3) -> DataFrame:
+    """item_id, vec_id and rank: the n stored vectors nearest to each question whose intent is unknown or search.
+
+    ``vectors`` has the questions' own (item_id, embedding). An empty store
+    gives no row, so the look-up's result stays.
+    """
+    asked = items.where(intent(F.col("question")).isin("unknown", "search")).select("item_id")
+    own = vectors.join(asked, "item_id").select(F.col("item_id").alias("vec_id"), "embedding")
+    return nearest(own, stored, n).select(F.col("query_id").alias("item_id"), "vec_id", "rank")
+
+
+def json_parts(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """key, object and array: what stands between the first and last brace and bracket of a text, null if there is none.
+
+    What does not parse as JSON is null too.
+    """
+    def part(pattern: str) -> Column:
+        found = F.nullif(F.regexp_extract(text, pattern, 0), F.lit(""))
+        # the parser stops at the first value's end; inside an object, text after it is an error
+        return F.when(F.try_parse_json(F.concat(F.lit('{"x":'), found, F.lit("}"))).isNotNull(), found)
+
+    return texts.select(key, part(r"(?s)\{.*\}").alias("object"), part(r"(?s)\[.*\]").alias("array"))
+
+
 def report(scored: DataFrame) -> DataFrame:
     """Per category: questions, passed (score of at least 0.7) and mean score."""
     return scored.groupBy("category").agg(F.count(F.lit(1)).alias("questions"), F.count_if(F.col("score") >= 0.7).alias("passed"),
@@ -216,9 +284,13 @@ def report(scored: DataFrame) -> DataFrame:
 
 
 def reflect_verdict(answers: DataFrame) -> DataFrame:
-    """item_id and why an answer needs another round: truncated, unresolved, no_citation or none."""
+    """item_id and why an answer needs another round: tool_error, truncated, unresolved, no_citation or none.
+
+    A column ``tool_error`` (boolean) says that a step failed; without it none did.
+    """
+    failed = F.coalesce(F.col("tool_error"), F.lit(False)) if "tool_error" in answers.columns else F.lit(False)
     verdict = (
-        F.when(F.col("answer").rlike(TRUNCATED), "truncated").when(F.col("answer").rlike(UNRESOLVED), "unresolved")
+        F.when(failed, "tool_error").when(F.col("answer").rlike(TRUNCATED), "truncated").when(F.col("answer").rlike(UNRESOLVED), "unresolved")
         .when(~F.col("answer").rlike(CITATION) & (F.size(keywords(F.col("question"))) > 0), "no_citation").otherwise("none")
     )
     return answers.select("item_id", verdict.alias("verdict"))
@@ -228,3 +300,21 @@ def shortened_lists(rows: DataFrame, group: str, order: list[str], keep: int = 2
     """group, kept and omitted: lengths of lists cut to ``keep`` items in the given order."""
     counts = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
     return counts.select(group, F.least("n", F.lit(keep)).alias("kept"), F.greatest(F.col("n") - keep, F.lit(0)).alias("omitted"))
+
+
+def kept_items(rows: DataFrame, group: str, order: list[str], keep: int = 20) -> DataFrame:
+    """The first ``keep`` rows of each group with their position ``at`` and how many of the group are ``omitted``."""
+    at = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    counts = rows.groupBy(group).agg(F.greatest(F.count(F.lit(1)) - keep, F.lit(0)).alias("omitted"))
+    first = rows.select(group, *order).withColumn("at", at).where(F.col("at") <= keep)
+    return first.join(counts, group).select(group, *order, "at", "omitted")
+
+
+def result_summary(kept: DataFrame, group: str, item: Column, longest: int = 8_000) -> DataFrame:
+    """group, summary (compact JSON of its kept items and how many are omitted, cut to ``longest`` characters) and its whole length.
+
+    ``kept`` are the rows of ``kept_items``, so a group is never longer than its list.
+    """
+    lists = kept.select(group, "omitted", F.struct("at", item.alias("item")).alias("x")).groupBy(group, "omitted").agg(F.array_sort(F.collect_list("x")).alias("items"))
+    text = F.to_json(F.struct(F.col(group), F.transform("items", lambda x: x["item"]).alias("items"), F.col("omitted")))
+    return lists.select(group, F.substring(text, 1, longest).alias("summary"), F.length(text).alias("chars"))

@@ -9,6 +9,48 @@ from codestrata.sources.tables import plain_path, project_files
 
 LINE_LIMIT = 50
 
+# Directories left out and extensions read by the baseline's listing.
+BASELINE_SKIPPED = ("venv", ".git", "__pycache__", "node_modules", "dist", "build", ".idea", ".claude")
+BASELINE_EXTENSIONS = ("py", "java", "js", "ts", "go", "cpp", "c", "h", "hpp", "cs", "rb", "rs")
+
+
+def listed_files(files: DataFrame, skipped: tuple[str, ...], extensions: tuple[str, ...]) -> DataFrame:
+    """file_id and path of the files with one of the extensions, in no directory that is left out; names count as they are spelled."""
+    parts = F.split("path", "/")
+    inside = F.arrays_overlap(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.array(*[F.lit(d) for d in skipped]))
+    return files.where(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1).isin(*extensions) & ~inside).select("file_id", "path")
+
+
+def module_descriptions(files: DataFrame, contents: DataFrame) -> DataFrame:
+    """project, directory, python_files, description, is_tool and is_agent of each top directory.
+
+    The description is the docstring of the directory's __init__.py if it
+    stands in its first 500 characters, cut to 100 (a display limit); a
+    directory is a tool or agent one by its own name or by a directory
+    ``tools`` or ``agent`` right in it. Names that begin with ``.`` or ``_`` and
+    virtual environments are left out.
+    """
+    parts = F.split("path", "/")
+    named = project_files(files).where(F.size(parts) > 2).select(
+        "file_id", "project", F.element_at(parts, 2).alias("directory"), F.element_at(parts, 3).alias("below"), F.size(parts).alias("deep"), "path")
+    named = named.where(~F.col("directory").rlike(r"^(\.|_|venv|node_modules)"))
+    opening = named.where("deep = 3 and below = '__init__.py'").join(newest_contents(contents), "file_id").select(
+        "project", "directory", F.substring(F.trim(F.regexp_extract(F.substring("content", 1, 500), r'(?s)"""(.*?)"""', 1)), 1, 100).alias("description"))
+    flag = lambda word, folder: F.contains(F.lower("directory"), F.lit(word)) | ((F.col("below") == folder) & (F.col("deep") > 3))
+    sums = named.groupBy("project", "directory").agg(
+        F.count_if(F.endswith("path", F.lit(".py"))).alias("python_files"), F.bool_or(flag("tool", "tools")).alias("is_tool"),
+        F.bool_or(flag("agent", "agent")).alias("is_agent"))
+    heads = opening.groupBy("project", "directory").agg(F.min("description").alias("description"))
+    return sums.join(heads, ["project", "directory"], "left").select(
+        "project", "directory", "python_files", F.coalesce("description", F.lit("")).alias("description"), "is_tool", "is_agent")
+
+
+def totals(files: DataFrame, functions: DataFrame) -> DataFrame:
+    """project, total_files (distinct paths) and total_functions."""
+    own = project_files(files).where("path is not null").groupBy("project").agg(F.count_distinct("path").alias("total_files"))
+    made = functions.groupBy("project").agg(F.count(F.lit(1)).alias("total_functions"))
+    return own.join(made, "project", "left").select("project", "total_files", F.coalesce("total_functions", F.lit(0)).alias("total_functions"))
+
 
 def newest_contents(contents: DataFrame) -> DataFrame:
     """file_id and content, one row per file: the latest that is not null, ties by the greatest text's hash."""

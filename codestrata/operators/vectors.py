@@ -7,6 +7,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codestrata.session import delete_folder
+
+#: From this cosine on two texts say the same.
+SEMANTIC_HIT = 0.55
 #: Rows and queries of one block: a task holds both and their distances, some 350 MB at most.
 BLOCK_ROWS, BLOCK_QUERIES = 20_000, 2_000
 
@@ -34,6 +38,11 @@ def _best(n: int):
     return best
 
 
+def neighbours(queries: DataFrame, rows: DataFrame, project: str | None = None, n: int = 10) -> DataFrame:
+    """``nearest`` among the rows of one project, or of all if none is named; ``rows`` has a column ``project`` then."""
+    return nearest(queries, rows if project is None else rows.where(F.col("project") == project), n)
+
+
 def nearest(queries: DataFrame, rows: DataFrame, n: int = 10) -> DataFrame:
     """query_id, vec_id, distance and rank: the n rows of least cosine distance for each query, ties by vec_id.
 
@@ -42,8 +51,7 @@ def nearest(queries: DataFrame, rows: DataFrame, n: int = 10) -> DataFrame:
     rest fail. Every pair of a block of queries and a block of rows is one
     bounded task that keeps its n best; a window merges them.
     """
-    rows = rows.where("vec_id is not null and embedding is not null").select("vec_id", "embedding")
-    queries = queries.where("vec_id is not null and embedding is not null").select("vec_id", "embedding")
+    rows, queries = (df.where("vec_id is not null and embedding is not null").select("vec_id", "embedding").toDF("vec_id", "embedding") for df in (rows, queries))
     row_blocks = max(1, -(-rows.count() // BLOCK_ROWS))
     query_blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
 
@@ -60,7 +68,42 @@ def nearest(queries: DataFrame, rows: DataFrame, n: int = 10) -> DataFrame:
 
 
 def index_items(functions: DataFrame) -> DataFrame:
-    """item_id (md5 of file, name and line) and document text of each function."""
+    """func_id, project, item_id (md5 of file, name and line) and the whole document text of each function."""
     item = F.md5(F.concat_ws(":", "path", "qualified_name", F.col("start_line").cast("string")))
     text = F.concat_ws("\n", F.concat(F.lit("函数: "), "qualified_name"), F.concat(F.lit("文件: "), "path"), F.concat(F.lit("说明: "), "docstring"))
-    return functions.select("func_id", item.alias("item_id"), F.substring(text, 1, 300).alias("preview"))
+    return functions.select("func_id", "project", item.alias("item_id"), text.alias("document"))
+
+
+class VectorStore:
+    """Index items as Parquet, one folder a project, in the folder ``root`` that all executors share."""
+
+    def __init__(self, spark, root: str):
+        self.spark, self.root = spark, root
+
+    def add(self, items: DataFrame) -> None:
+        """Appends items (with a column ``project``)."""
+        items.write.mode("append").partitionBy("project").parquet(self.root)
+
+    def replace_projects(self, items: DataFrame) -> None:
+        """The items of the projects that occur in ``items`` take the place of those stored; other projects stay."""
+        items.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project").parquet(self.root)
+
+    def delete_project(self, project: str) -> None:
+        escaped = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(project)
+        delete_folder(self.spark, f"{self.root}/project={escaped}")
+
+    def read(self, schema) -> DataFrame:
+        """All stored items; ``schema`` is that of the items added."""
+        return self.spark.read.schema(schema).parquet(self.root)
+
+
+def similarity(a: Column, b: Column) -> Column:
+    """Cosine of two vectors of equal length; zero vectors are like nothing."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)) + F.lit(1e-9))
+
+
+def semantic_hits(pairs: DataFrame, threshold: float = SEMANTIC_HIT) -> DataFrame:
+    """pair_id, similarity of ``a`` and ``b``, and whether it reaches the threshold."""
+    like = similarity(F.col("a"), F.col("b"))
+    return pairs.select("pair_id", F.round(like, 6).alias("similarity"), (like >= threshold).alias("hit"))

@@ -7,12 +7,13 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.operators import callgraph, diff, impact, lookup, modules, questions, store, vectors
+from codestrata.functions.names import simple_name
+from codestrata.operators import callgraph, diff, impact, load, lookup, modules, questions, store, vectors
 from codestrata.operators.snapshots import graph_records
 from codestrata.session import Stage
-from codestrata.sources.python_source import parse_python, vue_script
-from codestrata.sources.tables import Graph, first_segment, newest_rows, plain_path, table
-from codestrata.streaming import trace
+from codestrata.sources.source_tree import EXTENSIONS, SKIPPED_DIRECTORIES, vue_script
+from codestrata.sources.tables import Graph, newest_rows, plain_path, project_files, table
+from codestrata.streaming import changes, trace
 
 #: The name that the point queries ask for; every test table has functions of it.
 NAME, WORD = "commit", "mosaic"
@@ -46,10 +47,21 @@ class Bound:
         g = self.graph
         return graph_records(g.files, g.functions, g.classes, g.file_hashes).withColumnRenamed("scope", "project")
 
-    def changed_functions(self) -> DataFrame:
+    def changed_functions(self, statuses: tuple[str, ...] = ("added", "modified")) -> DataFrame:
         """name and status of functions that differ between the last two snapshots."""
-        base, head = diff.versions(self.records.where("kind = 'function'"), self.pairs)
-        return diff.compare(base, head, ["project", "path", "name"], "value").where("status in ('added', 'modified')").select("name", "status").distinct()
+        rows = self.records.where("kind = 'function'")
+        return diff.record_changes(rows, self.pairs, ["project", "path", "name"]).where(F.col("status").isin(*statuses)).select("name", "status").distinct()
+
+    def paths(self) -> DataFrame:
+        """Every string of the tables that may be cited as a path."""
+        g = self.graph
+        return questions.valid_paths(g.files.select("path"), g.files.select("name"), g.file_hashes.select("path"), g.imports.select("source"))
+
+    def keys(self, name: str, key: str) -> DataFrame:
+        """The latest records of a table by their key alone, for counting."""
+        rows = newest_rows(getattr(self.graph, name).where(F.col(key).isNotNull()), ["snapshot_no", key], ["file_id"])
+        owner = project_files(self.graph.files).select("file_id", "project")
+        return rows.join(owner, "file_id").join(self.graph.latest(), ["project", "snapshot_no"], "left_semi")
 
     def hashes(self) -> tuple[DataFrame, DataFrame]:
         rows = self.records.where("kind = 'file'").select("project", "path", "snapshot_no", F.col("value").alias("sha1"))
@@ -98,24 +110,20 @@ def _layers(b: Bound) -> DataFrame:
 
 def _module_stats(b: Bound) -> DataFrame:
     deps = Stage(b.spark, "modules").keep(b.dependencies())
-    return modules.module_stats(modules.modules(b.graph.files), deps, modules.cycles(deps))
+    return modules.module_stats(modules.modules(b.graph.files), deps, modules.cycles(deps, Stage(b.spark, "cycles")))
 
 
 def _diff(kind: str):
     def run(b: Bound) -> DataFrame:
-        base, head = diff.versions(b.records.where(F.col("kind") == kind), b.pairs)
-        return diff.compare(base, head, ["project", "path", "name"], "value").where("status <> 'same'").select("path", "name", "status")
+        rows = b.records.where(F.col("kind") == kind)
+        return diff.record_changes(rows, b.pairs, ["project", "path", "name"]).where("status <> 'same'").select("path", "name", "status")
 
     return run
 
 
 def _diff_stats(b: Bound) -> DataFrame:
-    out = None
-    for kind in ("file", "function", "class"):
-        base, head = diff.versions(b.records.where(F.col("kind") == kind), b.pairs)
-        rows = diff.status_counts(diff.compare(base, head, ["project", "path", "name"], "value"), kind)
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    changed = diff.record_changes(b.records, b.pairs, ["kind", "project", "path", "name"])
+    return changed.groupBy("kind", "project", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _diff_callees(b: Bound) -> DataFrame:
@@ -133,10 +141,117 @@ def _sync_plan(b: Bound) -> DataFrame:
 
 
 def _sync_apply(b: Bound) -> DataFrame:
-    plan = Stage(b.spark, "sync").keep(_sync_plan(b))
-    rows = b.records.where("kind = 'function'").select("project", "path", "snapshot_no", "name", "value")
-    base, head = diff.versions(rows, b.pairs)
-    return diff.sync_apply(base, head, plan).select("path", "name", F.col("value").alias("lines"))
+    """All tables of the graph after the sync; imports and calls belong to the files that each version lists."""
+    stage = Stage(b.spark, "sync")
+    base, head = (stage.keep(h.select("project", "path")) for h in b.hashes())
+    plan = stage.keep(_sync_plan(b))
+    columns = ["kind", "project", "path", "name", "value"]
+    sides = diff.versions(b.records.where("kind <> 'file'"), b.pairs)
+    owner = b.graph.files.select("file_id", "path")
+    imports = b.graph.imports.where("source is not null").select("import_id", "file_id", "source").distinct().join(owner, "file_id").select(
+        F.lit("import").alias("kind"), "path", F.col("source").alias("name"), F.lit("").alias("value"))
+    calls = b.sites.select(F.lit("call").alias("kind"), F.col("file").alias("path"), F.concat_ws(">", "caller", "callee_name").alias("name"),
+                           F.coalesce(F.col("line").cast("string"), F.lit("?")).alias("value"))
+    hanging = stage.keep(imports.unionByName(calls))
+    indexed, parsed = (rows.select(columns).unionByName(hanging.join(listed, "path").select(columns)) for rows, listed in zip(sides, (base, head)))
+    return diff.sync_apply(indexed, parsed, plan).select("kind", "path", "name", F.col("value").alias("lines"))
+
+
+def _hash_record(b: Bound) -> DataFrame:
+    """Hashes of the latest files that gave any function or class."""
+    _, head = b.hashes()
+    parsed = b.functions.select("path").unionByName(b.classes.select("path"))
+    return diff.recorded_hashes(head, parsed)
+
+
+def _review_lists(b: Bound) -> DataFrame:
+    changed = Stage(b.spark, "review").keep(b.changed_functions(("added", "modified", "removed")))
+    return diff.review_lists(changed, b.impact_of(changed.select(F.col("name").alias("source"))))
+
+
+def _review_recall(b: Bound) -> DataFrame:
+    """Of the functions that each suite asks for, those that changed, and those whose keywords the passage holds."""
+    expected = _items(b).select("suite", F.col("expected_target").alias("target"), F.col("passage").alias("summary"), F.col("keywords").alias("hints"))
+    changed = b.changed_functions(("added", "modified", "removed")).select(simple_name(F.col("name")).alias("name"))
+    return diff.review_recall(expected, changed)
+
+
+def _called_methods(b: Bound) -> DataFrame:
+    names = b.functions.where((F.col("name") == NAME) & F.contains("qualified_name", F.lit("."))).select(F.col("qualified_name").alias("target"))
+    return lookup.callees_of_each(b.sites, names)
+
+
+def _file_ids(b: Bound) -> DataFrame:
+    """Ids of every path that a file hash names: those of files, and new ones."""
+    return load.file_ids(b.graph.files, b.graph.file_hashes.select(plain_path(F.col("path")).alias("path")))
+
+
+def _bound_edges(b: Bound) -> DataFrame:
+    """The calls of the latest snapshots, their callers given by qualified and by simple name, bound to functions of their files."""
+    called = b.graph.call_edges.where("callee_name is not null").select("edge_id", "caller_func_id", "callee_name", "caller_line").distinct()
+    facts = called.join(b.functions.select(F.col("func_id").alias("caller_func_id"), "path", "name", "qualified_name"), "caller_func_id")
+    spelled = facts.select("edge_id", "path", F.explode(F.array(
+        F.struct(F.lit("qualified").alias("spelled"), F.col("qualified_name").alias("caller_name")),
+        F.struct(F.lit("simple").alias("spelled"), F.col("name").alias("caller_name")))).alias("x")).select("edge_id", "path", "x.spelled", "x.caller_name")
+    return load.bind_callers(spelled, load.load_order(b.functions)).select("edge_id", "spelled", "caller_func_id")
+
+
+def _loaded(b: Bound) -> DataFrame:
+    """Rows of each table once the parse results of the latest snapshots are loaded."""
+    ids = load.file_ids(b.graph.files.limit(0), b.functions.select("path").union(b.classes.select("path")))
+    imports = b.graph.imports.where("source is not null").select("import_id", "file_id", "source").distinct().join(
+        b.graph.files.select("file_id", "path"), "file_id").join(ids.select("path"), "path", "left_semi")
+    return lookup.graph_stats(files=ids, functions=b.functions, classes=b.classes, imports=imports, call_edges=_bound_edges(b).where("spelled = 'qualified'"))
+
+
+def _semantic(b: Bound) -> DataFrame:
+    """Each vector against the least-numbered one of its label."""
+    rows = table(b.spark, b.folder, "embeddings").where("vec_id is not null and embedding is not null")
+    first = rows.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("b"))
+    return vectors.semantic_hits(rows.join(first, "label").select(F.col("vec_id").alias("pair_id"), F.col("embedding").alias("a"), "b"))
+
+
+def _fallback(b: Bound) -> DataFrame:
+    """An item's vector is the one of its number; all vectors are the store."""
+    rows = table(b.spark, b.folder, "embeddings").select("vec_id", "embedding")
+    return questions.fallback_results(_items(b), rows.withColumnRenamed("vec_id", "item_id"), rows)
+
+
+def _vector_store(b: Bound) -> DataFrame:
+    """Items stored per project, after the least project is deleted and the next one indexed twice."""
+    stage = Stage(b.spark, "vectors")
+    items = stage.keep(vectors.index_items(b.functions).where("project is not null"))
+    shop = vectors.VectorStore(b.spark, f"{stage.root}/store")
+    shop.add(items)
+    names = [r.project for r in items.select("project").distinct().orderBy("project").limit(2).collect()]
+    if names:
+        shop.delete_project(names[0])
+        shop.replace_projects(items.where(F.col("project") == names[-1]))
+        shop.delete_project(names[0])
+    schema = "func_id long, item_id string, document string, project string"
+    return shop.read(schema).groupBy("project").agg(F.count(F.lit(1)).alias("items"), F.sum(F.length("document")).alias("chars")) if names else (
+        items.groupBy("project").agg(F.count(F.lit(1)).alias("items"), F.sum(F.length("document")).alias("chars")))
+
+
+def _baseline(b: Bound) -> DataFrame:
+    """item_id, words of the answer known to the files read, and confidence in its citations."""
+    stage = Stage(b.spark, "baseline")
+    answers = stage.keep(b.answers().select("item_id", "answer"))
+    read = stage.keep(_retrieval(b).select("item_id", "file_id", "path"))
+    words = store.newest_contents(b.graph.file_contents).join(read, "file_id").select(
+        "item_id", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(questions.CALL_WORD), 1))).alias("word"))
+    return questions.mentioned(answers, words).join(questions.baseline_confidence(answers, read), "item_id")
+
+
+def _empty(b: Bound) -> DataFrame:
+    found = b.functions.groupBy(F.col("name").alias("expected_target")).agg(F.count(F.lit(1)).alias("n"), F.min("docstring").alias("detail"))
+    return _items(b).join(found, "expected_target", "left").select("item_id", questions.is_empty(F.col("n"), F.col("detail")).alias("empty"))
+
+
+def _text_intents(b: Bound) -> DataFrame:
+    """Intent and keyword of every document, read as a question."""
+    text = F.col("text")
+    return table(b.spark, b.folder, "documents").select("doc_id", questions.intent(text).alias("detected"), questions.raw_keyword(text).alias("word"))
 
 
 def _review(b: Bound) -> DataFrame:
@@ -161,7 +276,7 @@ def _counts(b: Bound) -> DataFrame:
 
 def _scores(b: Bound) -> DataFrame:
     answers = Stage(b.spark, "scores").keep(b.answers())
-    gate = questions.citation_gate(answers, b.graph.files)
+    gate = questions.citation_gate(answers, b.paths())
     return questions.scores(_items(b), answers.select("item_id", "answer"), gate.select("item_id", "confidence"), _counts(b))
 
 
@@ -174,9 +289,10 @@ def _retrieval(b: Bound) -> DataFrame:
 
 
 def _scripts(b: Bound) -> DataFrame:
-    """First script element of the contents that hold one (or other markup)."""
+    """First script element of every content with markup; 0 characters where it has none."""
     body = vue_script(F.col("content"))
-    return b.graph.file_contents.where(F.contains(F.lower("content"), F.lit("<html"))).select("file_id", F.length(body).alias("script_chars"))
+    marked = F.lower("content").rlike("<(html|script|template)")
+    return b.graph.file_contents.where(marked).select("file_id", F.length(body).alias("script_chars"))
 
 
 def _trace_stream(b: Bound) -> DataFrame:
@@ -207,13 +323,14 @@ def _related(b: Bound) -> DataFrame:
 def queries() -> dict:
     bound = {
         "callers_of": lambda b: lookup.callers_of(b.sites, NAME),
+        "callees_of_methods": _called_methods,
         "callees_of": lambda b: lookup.callees_of(b.sites, NAME),
         "search_functions": lambda b: lookup.search_functions(b.functions, WORD),
         "search_files": lambda b: lookup.search_files(b.graph.files, WORD),
         "function_detail": lambda b: lookup.function_detail(b.functions, NAME),
         "file_structure": lambda b: lookup.file_structure(lookup.search_files(b.graph.files, WORD, 1), b.functions, b.classes),
         "structure_by_file": lambda b: lookup.structure_by_file(b.graph.files, b.functions, WORD),
-        "graph_stats": lambda b: lookup.graph_stats(files=b.graph.files, functions=b.functions, classes=b.classes,
+        "graph_stats": lambda b: lookup.graph_stats(files=b.graph.files, functions=b.keys("functions", "func_id"), classes=b.keys("classes", "class_id"),
                                                     call_edges=b.graph.call_edges.select("edge_id").distinct(), imports=b.graph.imports.select("import_id").distinct()),
         "change_impact": lambda b: b.impact_of(_named(b)).select("caller", "depth", "file", "line"),
         "impact_batch": lambda b: b.impact_of(b.changed_functions().select(F.col("name").alias("source"))).select("source", "caller", "depth"),
@@ -226,7 +343,8 @@ def queries() -> dict:
         "module_dependencies": lambda b: b.dependencies(),
         "module_fan": lambda b: modules.fan(b.dependencies()),
         "core_modules": lambda b: modules.core_modules(modules.fan(b.dependencies())),
-        "module_cycles": lambda b: modules.cycles(Stage(b.spark, "cycles").keep(b.dependencies())),
+        "module_cycles": lambda b: modules.cycles(Stage(b.spark, "cycles").keep(b.dependencies()), Stage(b.spark, "cycles")),
+        "module_files": lambda b: modules.module_files(b.graph.files, b.graph.imports),
         "module_rings": lambda b: modules.rings(b.dependencies(), Stage(b.spark, "rings")),
         "module_ring_stats": lambda b: modules.ring_stats(modules.modules(b.graph.files), modules.rings(b.dependencies(), Stage(b.spark, "rings"))),
         "module_layers": _layers,
@@ -236,6 +354,7 @@ def queries() -> dict:
         "callgraph_nodes": lambda b: callgraph.nodes(callgraph.degrees(b.graph.call_edges, b.functions)),
         "callgraph_links": lambda b: callgraph.links(b.sites, _shown(b)),
         "callgraph_adjacency": lambda b: callgraph.adjacency(callgraph.links(b.sites, _shown(b))),
+        "callgraph_search": lambda b: callgraph.search_nodes(callgraph.nodes(callgraph.degrees(b.graph.call_edges, b.functions)), WORD),
         "ego_network": _ego,
         "diff_files": _diff("file"),
         "diff_functions": _diff("function"),
@@ -244,24 +363,47 @@ def queries() -> dict:
         "diff_callees": _diff_callees,
         "review_findings": _review,
         "sync_plan": _sync_plan,
+        "review_lists": _review_lists,
+        "review_recall": _review_recall,
         "sync_apply": _sync_apply,
+        "sync_counts": lambda b: diff.sync_counts(_sync_plan(b)),
+        "hash_record": _hash_record,
+        "hash_stream": lambda b: changes.stream_hashes(b.spark, f"{b.folder}/file_hashes.parque[t]", b.graph.file_hashes.schema).select("path", "sha1"),
+        "load_file_ids": _file_ids,
+        "load_edges": _bound_edges,
+        "load_tables": _loaded,
+        "source_listing": lambda b: store.listed_files(b.graph.files, SKIPPED_DIRECTORIES, EXTENSIONS),
+        "baseline_listing": lambda b: store.listed_files(b.graph.files, store.BASELINE_SKIPPED, store.BASELINE_EXTENSIONS),
+        "module_descriptions": lambda b: store.module_descriptions(b.graph.files, b.graph.file_contents),
+        "project_totals": lambda b: store.totals(b.graph.files, b.functions),
         "vector_search": _vectors,
-        "vector_index_items": lambda b: vectors.index_items(b.functions),
+        "vector_index_items": lambda b: vectors.index_items(b.functions).select("func_id", "item_id", "document"),
+        "vector_store": _vector_store,
+        "vector_fallback": _fallback,
+        "semantic_hits": _semantic,
         "question_intents": lambda b: questions.questions(_items(b)),
         "question_functions": lambda b: questions.question_functions(_items(b), b.functions),
         "naive_retrieval": lambda b: questions.naive_retrieval(b.graph.file_contents, WORD),
         "context_budget": _budget,
         "question_retrieval": lambda b: _retrieval(b).select("item_id", "rank", "file_id", "tier", "hits", "size"),
         "question_budget": lambda b: questions.question_budget(_retrieval(b)),
+        "raw_keywords": lambda b: _items(b).select("item_id", questions.raw_keyword(F.col("question")).alias("word")),
+        "text_intents": _text_intents,
+        "empty_answers": _empty,
+        "baseline_answers": _baseline,
+        "json_parts": lambda b: questions.json_parts(table(b.spark, b.folder, "documents"), "doc_id", "text"),
+        "event_json": lambda b: questions.json_parts(table(b.spark, b.folder, "events"), "event_id", "props").where("object is not null").select("event_id", "object"),
         "call_words": lambda b: questions.call_words(b.graph.file_contents, b.functions),
-        "citation_gate": lambda b: questions.citation_gate(b.answers(), b.graph.files),
+        "citation_gate": lambda b: questions.citation_gate(b.answers(), b.paths()),
         "eval_scores": _scores,
         "eval_report": lambda b: questions.report(_scores(b)),
         "reflect_verdict": lambda b: questions.reflect_verdict(b.answers()),
         "result_truncation": lambda b: questions.shortened_lists(b.sites, "caller", ["line", "callee_name"]),
+        "result_items": lambda b: questions.kept_items(b.sites, "caller", ["file", "line", "callee_name", "edge_id"]).select("caller", "at", "callee_name", "omitted"),
+        "result_summary": lambda b: questions.result_summary(
+            questions.kept_items(b.sites, "caller", ["file", "line", "callee_name", "edge_id"]), "caller", F.col("callee_name")),
         "trace_summary": lambda b: trace.summary(table(b.spark, b.folder, "events")),
         "trace_stream": _trace_stream,
         "script_extract": _scripts,
-        "parse_python": lambda b: parse_python(b.graph.files, b.graph.file_contents),
     }
     return {name: _q(f) for name, f in bound.items()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -47,8 +48,14 @@ class Stage:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        ship(spark)
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        context = spark.sparkContext
+        if not hasattr(context, "_codestrata_roots"):
+            context._codestrata_roots = []
+            atexit.register(release, spark)
+        context._codestrata_roots.append(self.root)
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.count += 1
@@ -61,9 +68,31 @@ class Stage:
     def drop(self, df: DataFrame) -> None:
         path = getattr(df, "_stage_path", None)
         if path:
-            jvm = self.spark._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+            delete_folder(self.spark, path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(target, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the intermediate tables of all runs of this Spark context; their results can't be read any more.
+
+    Called when the driver's Python ends; call it yourself once results are written.
+    """
+    roots = getattr(spark.sparkContext, "_codestrata_roots", [])
+    while roots:
+        try:
+            delete_folder(spark, roots.pop())
+        except Exception:  # the JVM may be gone
+            return
+
+
+def python_rows(df: DataFrame, function, schema: str) -> DataFrame:
+    """``mapInPandas`` with the package at hand on the executors."""
+    ship(df.sparkSession)
+    return df.mapInPandas(function, schema)
 
 
 def ship(spark: SparkSession) -> None:

@@ -11,3 +11,16 @@ def test_rings_of_any_length_are_found(spark):
     assert rows(found, "project", "ring", "module", "modules") == sorted([("p", "m0", f"m{i}", 6) for i in range(6)] + [("p", "x", m, 2) for m in "xy"], key=repr)
     named = spark.createDataFrame([("p", "m0"), ("q", "m0")], "project string, module string")
     assert rows(modules.ring_stats(named, found), "project", "rings", "on_rings", "largest") == [("p", 2, 8, 6), ("q", 0, 0, 0)]
+
+
+def test_cycle_of_six_modules_and_all_shorter_ones(spark):
+    arcs = [("p", f"m{i}", f"m{(i + 1) % 6}", 1) for i in range(6)] + [("p", "m3", "m1", 1), ("p", "m5", "x", 1), ("p", "x", "y", 1), ("q", "a", "b", 1), ("q", "b", "a", 1)]
+    deps = spark.createDataFrame(arcs, "project string, from_module string, to_module string, details long")
+    found = modules.cycles(deps, Stage(spark, "cycles"))
+    assert rows(found, "project", "cycle", "length") == sorted(
+        [("p", "m0->m1->m2->m3->m4->m5->m0", 6), ("p", "m1->m2->m3->m1", 3), ("q", "a->b->a", 2)], key=repr)
+
+
+def test_no_dependencies_no_cycles(spark):
+    deps = spark.createDataFrame([], "project string, from_module string, to_module string, details long")
+    assert modules.cycles(deps, Stage(spark, "cycles")).collect() == []

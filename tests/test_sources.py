@@ -2,36 +2,7 @@ from pyspark.sql import functions as F
 
 from codestrata.operators import questions as Q
 from codestrata.operators import vectors as V
-from codestrata.sources.python_source import parse_python, python_facts, source_tree, vue_script
-
-
-def test_python_facts():
-    source = '''import os
-from .a import b as c, d
-
-@deco
-def f(x):
-    g(x)
-    def inner():
-        hidden()
-    return obj.m(1)
-
-class A(Base, mixin.B):
-    @property
-    def p(self):
-        return self.q()
-'''
-    got = python_facts(source)
-    assert ("function", "f", 5, 9, None) in got and ("method", "A.p", 13, 14, None) in got
-    assert ("class", "A", 11, 14, "Base,mixin.B") in got
-    assert sorted(d for k, _, _, _, d in got if k == "call") == ["g", "obj.m", "self.q"]
-    assert [(n, d) for k, n, _, _, d in got if k == "import"] == [("os", None), (".a", "b,d")]
-
-
-def test_unparseable_python_is_an_error_row(spark, make):
-    files = make("files", [{"file_id": i, "path": f"p/{i}.py", "name": "x", "project": "p"} for i in (1, 2, 3)])
-    contents = make("file_contents", [{"file_id": 1, "content": "def f(:\n"}, {"file_id": 2, "content": ""}, {"file_id": 3, "content": None}])
-    assert [(r.file_id, r.kind) for r in parse_python(files, contents).collect()] == [(1, "error")]
+from codestrata.sources.source_tree import source_tree, vue_script
 
 
 def test_source_tree_and_vue(spark, tmp_path):
