@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codestrata.sources.tables import class_records, first_segment, function_records, newest_rows, plain_path
+from codestrata.sources.tables import (
+    CLASS_VALUES, FUNCTION_VALUES, class_records, dotted, first_segment, function_records, newest_rows, plain_path, project_files,
+)
 
 #: Up to so many (scope, snapshot) rows are broadcast, some 20 MB; more are joined.
 MAX_BROADCAST_SNAPSHOTS = 200_000
@@ -25,45 +27,46 @@ def snapshot_neighbours(delivered: DataFrame) -> DataFrame:
     )
 
 
-def chunks(rows: DataFrame, buckets: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def chunks(rows: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Content-defined chunks of each key-sorted snapshot, with a digest of each.
 
-    ``rows`` has scope, kind, snapshot_no, path, name (the key) and value
-    (LONG). Keys are sorted within (scope, kind, bucket of the path), and a key
-    whose hash is divisible by ``chunk_rows`` starts a chunk: where a chunk
-    begins depends on its own content only, so an insertion changes the chunk
-    it falls into and no other. Buckets split a scope that holds a large share
-    of all rows; a chunk's length is geometric with mean ``chunk_rows``.
+    ``rows`` has scope, kind, snapshot_no, unit, path, name (the key) and value.
+    The caller has brought them together by unit, which no chunk crosses, and they are sorted there;
+    nothing after that is shuffled again. A key whose hash is divisible by
+    ``chunk_rows`` starts a chunk: where a chunk begins depends on its own
+    content only, so an insertion changes the chunk it falls into and no other.
+    A chunk's length is geometric with mean ``chunk_rows``.
     """
     key = F.xxhash64("path", "name")
     starts = F.when(F.pmod(key, F.lit(chunk_rows)) == 0, key)
-    bucketed = (
-        rows.withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(buckets))).withColumn("start", starts)
-        .repartition("scope", "kind", "bucket")
-    )
-    sorted_rows = Window.partitionBy("scope", "kind", "snapshot_no", "bucket").orderBy("path", "name")
-    ruled = bucketed.withColumn(
+    sorted_rows = Window.partitionBy("unit", "scope", "kind", "snapshot_no").orderBy("path", "name")
+    ruled = rows.withColumn("start", starts).withColumn(
         "chunk", F.last("start", ignorenulls=True).over(sorted_rows.rowsBetween(Window.unboundedPreceding, 0))
     )
     return (
-        ruled.groupBy("scope", "kind", "snapshot_no", "bucket", "chunk")
-        .agg(F.sort_array(F.collect_list(F.struct("path", "name", "value"))).alias("members"))
-        .withColumn("digest", F.sha2(F.to_json("members"), 256))
+        ruled.groupBy("unit", "scope", "kind", "snapshot_no", "chunk")
+        .agg(F.sort_array(F.collect_set(F.struct("path", "name", "value"))).alias("members"))
+        .withColumn("digest", F.struct(F.xxhash64("members").alias("a"), F.xxhash64(F.lit(1), "members").alias("b")))
     )
 
 
 def snapshot_changes(rows: DataFrame, delivered: DataFrame, chunk_rows: int = CHUNK_ROWS, buckets: int | None = None) -> DataFrame:
     """(scope, kind, path, name, snapshot_no, change_kind) between consecutive delivered snapshots.
 
-    ``rows`` has one row per scope, kind, snapshot_no, path and name, with the
-    compared content as a STRING ``value``; a null value differs from any
-    other. ``delivered`` has (scope, snapshot_no) of every snapshot that was
-    delivered, even an empty one. Chunks whose digest occurs in both snapshots
-    of a pair are discarded; only the rows of the others are joined. The first
-    snapshot of a scope has nothing to be compared with and gives no rows.
+    ``rows`` has scope, kind, snapshot_no, path, name and the compared content
+    as a STRING ``value``; a null value differs from any other, and several
+    rows of one key are one record with all their values. ``delivered`` has
+    (scope, snapshot_no) of every snapshot that was delivered, even an empty
+    one. ``unit``, if rows have it, is what they are partitioned by already (rows
+    of equal path must have one); else paths are spread over ``buckets`` by hash. Chunks whose
+    digest occurs in both snapshots of a pair are discarded; only the rows of
+    the others are joined. The first snapshot of a scope has nothing to be
+    compared with and gives no rows.
     """
-    if buckets is None:
-        buckets = max(1, -(-rows.count() // ROWS_PER_BUCKET))
+    if "unit" not in rows.columns:
+        if buckets is None:
+            buckets = max(1, -(-rows.count() // ROWS_PER_BUCKET))
+        rows = rows.withColumn("unit", F.xxhash64("scope", "kind", F.pmod(F.xxhash64("path"), F.lit(buckets)))).repartition("unit")
     near = snapshot_neighbours(delivered)
     if near.count() <= MAX_BROADCAST_SNAPSHOTS:
         near = F.broadcast(near)
@@ -71,29 +74,56 @@ def snapshot_changes(rows: DataFrame, delivered: DataFrame, chunk_rows: int = CH
     as_newer = F.when(F.col("previous_no").isNotNull(), F.struct(F.col("snapshot_no").alias("pair"), F.lit(1).alias("side")))
     as_older = F.when(F.col("next_no").isNotNull(), F.struct(F.col("next_no").alias("pair"), F.lit(2).alias("side")))
     sided = (
-        chunks(rows, buckets, chunk_rows).join(near, ["scope", "snapshot_no"])
+        chunks(rows, chunk_rows).join(near, ["scope", "snapshot_no"])
         .withColumn("take", F.explode(F.array_compact(F.array(as_newer, as_older))))
-        .select("scope", "kind", "bucket", "digest", "members", "take.pair", "take.side")
+        .select("unit", "scope", "kind", "digest", "members", "take.pair", "take.side")
     )
-    same = Window.partitionBy("scope", "kind", "bucket", "pair", "digest")
+    same = Window.partitionBy("unit", "scope", "kind", "pair", "digest")
     unmatched = sided.withColumn("sides", F.bit_or("side").over(same)).where("sides <> 3")
-    left = unmatched.select("scope", "kind", "bucket", "pair", "side", F.explode("members").alias("m")).select(
-        "scope", "kind", "bucket", "pair", "side", "m.path", "m.name", "m.value"
+    left = unmatched.select("unit", "scope", "kind", "pair", "side", F.explode("members").alias("m")).select(
+        "unit", "scope", "kind", "pair", "side", "m.path", "m.name", F.struct("m.value").alias("value")
     )
-    met = left.groupBy("scope", "kind", "bucket", "pair", "path", "name").agg(
-        F.bit_or("side").alias("sides"),
-        F.max(F.when(F.col("side") == 1, F.col("value"))).alias("new_value"),
-        F.max(F.when(F.col("side") == 2, F.col("value"))).alias("old_value"),
+    values = lambda side: F.sort_array(F.collect_set(F.when(F.col("side") == side, F.col("value"))))
+    met = left.groupBy("unit", "scope", "kind", "pair", "path", "name").agg(
+        F.bit_or("side").alias("sides"), values(1).alias("new_values"), values(2).alias("old_values")
     )
     kind = (
         F.when(F.col("sides") == 1, "added").when(F.col("sides") == 2, "removed")
-        .when(~F.col("new_value").eqNullSafe(F.col("old_value")), "changed")
+        .when(F.col("new_values") != F.col("old_values"), "changed")
     )
     return met.select(
         "scope", "kind", "path", "name", F.col("pair").alias("snapshot_no"), kind.alias("change_kind")
     ).where("change_kind is not null")
 
 
+def _file_rows(hashes: DataFrame) -> DataFrame:
+    paths = hashes.withColumn("path", plain_path(F.col("path"))).where("path is not null and snapshot_no is not null")
+    return newest_rows(paths.withColumn("value", F.lower("sha1")), ["snapshot_no", "path"], ["value"]).select(
+        first_segment(F.col("path")).alias("scope"), F.lit("file").alias("kind"), "snapshot_no", "path", F.lit("").alias("name"), "value"
+    )
+
+
+def _ranged_rows(records: DataFrame, kind: str) -> DataFrame:
+    lines = F.concat_ws("-", F.coalesce(F.col("start_line").cast("string"), F.lit("?")), F.coalesce(F.col("end_line").cast("string"), F.lit("?")))
+    return records.where("qualified_name is not null and path is not null and snapshot_no is not null").select(
+        F.col("project").alias("scope"), F.lit(kind).alias("kind"), "snapshot_no", "file_id", "path", F.col("qualified_name").alias("name"), lines.alias("value"))
+
+
+def graph_changes(files: DataFrame, functions: DataFrame, classes: DataFrame, hashes: DataFrame, delivered: DataFrame) -> DataFrame:
+    """``snapshot_changes`` of files, functions and classes, by the rules of :func:`graph_records`.
+
+    The records of a file are kept together by its id, as the join with files
+    has them, so they are shuffled once to settle repeated deliveries and once more
+    to sort them.
+    """
+    out = snapshot_changes(_file_rows(hashes), delivered, buckets=max(1, -(-hashes.count() // ROWS_PER_BUCKET)))
+    for records, key, values, kind in ((functions, "func_id", FUNCTION_VALUES, "function"), (classes, "class_id", CLASS_VALUES, "class")):
+        newest = newest_rows(records.where(F.col(key).isNotNull()), ["snapshot_no", key], values)
+        owned = newest.repartition("file_id").join(project_files(files), "file_id").withColumn("qualified_name", dotted(F.col("qualified_name")))
+        out = out.unionByName(snapshot_changes(_ranged_rows(owned, kind).withColumnRenamed("file_id", "unit"), delivered))
+    return out
+
+
 def graph_records(files: DataFrame, functions: DataFrame, classes: DataFrame, hashes: DataFrame) -> DataFrame:
     """Files, functions and classes of every snapshot as rows for :func:`snapshot_changes`.
 
@@ -102,20 +132,10 @@ def graph_records(files: DataFrame, functions: DataFrame, classes: DataFrame, ha
     all their line ranges in its value. The letter case of a hash, a leading
     ``./`` and ``\\`` in a path are no difference. Null paths and names give nothing.
     """
-    paths = hashes.withColumn("path", plain_path(F.col("path"))).where("path is not null and snapshot_no is not null")
-    file_rows = newest_rows(paths.withColumn("value", F.lower("sha1")), ["snapshot_no", "path"], ["value"]).select(
-        first_segment(F.col("path")).alias("scope"), F.lit("file").alias("kind"), "snapshot_no", "path", F.lit("").alias("name"), "value"
-    )
-
     def ranged(records: DataFrame, kind: str) -> DataFrame:
-        lines = F.concat_ws("-", F.coalesce(F.col("start_line").cast("string"), F.lit("?")), F.coalesce(F.col("end_line").cast("string"), F.lit("?")))
-        return (
-            records.where("qualified_name is not null and path is not null and snapshot_no is not null")
-            .groupBy("project", "snapshot_no", "path", "qualified_name")
-            .agg(F.array_join(F.array_sort(F.collect_set(lines)), ",").alias("value"))
-            .select(F.col("project").alias("scope"), F.lit(kind).alias("kind"), "snapshot_no", "path", F.col("qualified_name").alias("name"), "value")
-        )
-
-    return file_rows.unionByName(ranged(function_records(functions, files), "function")).unionByName(
+        return _ranged_rows(records, kind).groupBy("scope", "kind", "snapshot_no", "path", "name").agg(
+            F.array_join(F.array_sort(F.collect_set("value")), ",").alias("value"))
+
+    return _file_rows(hashes).unionByName(ranged(function_records(functions, files), "function")).unionByName(
         ranged(class_records(classes, files), "class")
     )

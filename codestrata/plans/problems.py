@@ -114,9 +114,8 @@ def p5_report(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     graph, stage = Graph(spark, folder), Stage(spark, "p7")
-    rows = stage.keep(S.graph_records(graph.files, graph.functions, graph.classes, graph.file_hashes))
-    delivered = graph.delivered().withColumnRenamed("project", "scope")
-    return S.snapshot_changes(rows, delivered).select(
+    delivered = stage.keep(graph.delivered().withColumnRenamed("project", "scope"))
+    return S.graph_changes(graph.files, graph.functions, graph.classes, graph.file_hashes, delivered).select(
         F.col("kind").alias("rec_kind"), "path", F.col("name").alias("rec_name"), "snapshot_no", "change_kind"
     )
 
