@@ -15,6 +15,17 @@ def tasks(df: DataFrame, least: int = 0) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism, least)
 
 
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Rows read from files, ready for work in Python.
+
+    Files that make four partitions a core or more are taken as they lie; fewer
+    (a small input, or few large row groups) are spread by ``key``.
+    """
+    if scan.rdd.getNumPartitions() >= 4 * scan.sparkSession.sparkContext.defaultParallelism:
+        return scan
+    return scan.repartition(tasks(scan), key)
+
+
 def with_language(files: DataFrame) -> DataFrame:
     """Adds ``ext`` (lower case) and ``language``, null where the extension is of no known language."""
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))

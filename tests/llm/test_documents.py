@@ -67,6 +67,44 @@ def test_leaks_against_brute_force(spark, make):
     assert rows(got, "doc_id", "item_id") == sorted(want, key=repr) and len(want) > 15 and (100, 6) in want and (101, 6) not in want
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_short_pieces_in_long_documents_by_both_ways(spark, make, broadcast):
+    """Pieces of the least length of passages of every size class, in documents of up to 4,000 words; recall is 1 but for a chance of MISS."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh0") for _ in range(rng.randrange(2, 7)))
+    passages = [[word() for _ in range(n)] for n in (14, 15, 16, 20, 31, 40, 64, 90, 150, 260, 500)]
+    docs = []
+    for i in range(120):
+        p = passages[i % len(passages)]
+        at = rng.randrange(max(1, len(p) - 14))
+        text = [word() for _ in range(rng.choice([20, 300, 4000]))]
+        k = rng.randrange(len(text))
+        docs.append((i, "é ".join(text[:k] + p[at:at + 15] + text[k:])))
+    zh = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(400))
+    docs += [(200, "x" + zh[50:80] + "y"), (201, zh[50:79]), (202, " 、".join(zh[100:131])), (203, None), (204, ""), (205, "a" * 500_000)]
+    items = [(i, " ".join(p)) for i, p in enumerate(passages)] + [(50, zh), (51, None), (52, "")]
+    got = leakage.leaked_items(make("documents", [{"doc_id": i, "text": t} for i, t in docs]), make("eval_items", [{"item_id": i, "passage": p} for i, p in items]), broadcast)
+    want = {(d, i) for d, t in docs for i, p in items if t and p and leakage.shares_run(t, p)}
+    assert rows(got, "doc_id", "item_id") == sorted(want, key=repr) and {(200, 50), (202, 50)} <= want and len(want) > 100
+
+
+def test_shingle_hashes_equal_for_equal_words_only():
+    texts = ["One two, three-four five six", "one TWO three four five", "x" * 5000 + " two three four five", "", "12 two three four five", "\u4e00" * 12, "ü one two three four five\n"]
+    h, owner = leakage.shingles(texts)
+    by = {i: set(h[owner == i].tolist()) for i in range(len(texts))}
+    assert len(by[0]) == 2 and len(by[1]) == 1 and by[1] < by[0] and by[1] == by[6] and len(by[2]) == 1 and not by[2] & by[1] and not by[3] and not by[4] & by[1] and len(by[5]) == 1
+    many = [" ".join(f"w{i * k}" for i in range(60_000)) for k in (1, 2)]
+    h, owner = leakage.shingles(many)
+    assert (np.bincount(owner) == 59_996).all() and len(np.unique(h)) == len(h)
+
+
+def test_size_classes_and_their_bands():
+    assert [leakage.size_class(n) for n in (1, 11, 16, 17, 64)] == [1, 16, 16, 32, 64]
+    for upper in (16, 32, 64, 512):
+        assert (1 - 11 / upper) ** leakage.bands(upper, 11) <= leakage.MISS
+    assert leakage.bands(8, 11) == 1
+
+
 def test_learned_rules_hold_out():
     rng = np.random.default_rng(0)
     x = rng.random((2000, 4))
