@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,7 +29,10 @@ _WORD = r"\p{L}[\p{L}\p{M}'’-]*"
 _BULLET = r"^\s*(?:[-*+•·‣◦–]\s|\[[ xX]?\]\s|\(?\d{1,4}[.):]\s|[a-zA-Z][.)]\s)"
 _PAIR = r"^\s*[\p{L}_][^\s:=]{0,30}(?:\s[^\s:=]{1,20})?\s*[:=]\s*\S{1,30}(?:\s\S{1,20})?$"
 _ITEM = r"^[\p{L}\p{N}_./()'’-]{1,40}(?:\s[\p{L}\p{N}_./()'’-]{1,30}){0,5}$"
-_CLOSED = r"[.!?:;…。！？：；](?:[\"'”’)\]]*)\s*$"
+# A line is closed if one of these is its last sign but for quotes and brackets.
+_CLOSERS, _CLOSING_QUOTES = ".!?:;…。！？：；", "\"'”’)]"
+_SPOKEN = rf"(?:^|\s)[(\"'“«¿¡]?{_WORD}[.,;:!?…)\"'”»]*(?=\s|$)"
+_LISTED = r"(?:^|,\s)[^\s,.]{1,30}(?:\s[^\s,.]{1,20})?(?=,\s|$)"
 _MOJIBAKE = r"[ÃÂÐÑâãäåæçèéÅ][\u0080-¿‘-›€™œŒšŠžŽ]"
 
 
@@ -57,30 +62,48 @@ def text_statistics(documents: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     base = documents.select("doc_id", F.regexp_replace(text, "\r\n?", "\n").alias("text"))
     lines = F.filter(F.split("text", "\n"), lambda l: F.length(F.trim(l)) > 0)
-    base = base.withColumn("lines", lines)
     words = F.regexp_extract_all(F.lower("text"), F.lit(rf"({_WORD})"), 1)
-    base = base.withColumn("word_list", words)
+    base = base.withColumn("lines", lines).withColumn("word_list", words)
+
+    def sign(line: Column, mark: str) -> Column:
+        return F.length(line) - F.length(F.replace(line, F.lit(mark), F.lit("")))
+
+    def tight(line: Column, mark: str) -> Column:
+        """How often the mark stands before something else than a space."""
+        return F.when(F.contains(line, F.lit(mark)), _count(line, rf"{mark}(?=\S)")).otherwise(0)
 
     def cells(line: Column) -> Column:
-        piped = _count(line, r"\|")
+        piped = sign(line, "|")
         return F.greatest(
-            F.when(piped >= 3, piped - 1).otherwise(0),
-            _count(line, r"\t") + 1, _count(line, r"\S {2,}\S") + 1, _count(line, r";(?=\S)") + 1, _count(line, r",(?=\S)") + 1,
+            F.when(piped >= 3, piped - 1).otherwise(0), sign(line, "\t") + 1,
+            F.when(F.contains(line, F.lit("  ")), _count(line, r"\S {2,}\S") + 1).otherwise(1), tight(line, ";") + 1, tight(line, ",") + 1,
         )
 
-    def sentence(line: Column) -> Column:
-        spoken = _count(line, rf"(?:^|\s)[(\"'“«¿¡]?{_WORD}[.,;:!?…)\"'”»]*(?=\s|$)")
-        tokens = F.size(F.split(F.trim(line), r"\s+"))
-        cjk = _count(line, _CJK)
-        common = F.size(F.filter(F.split(F.lower(line), r"[^\p{L}\p{M}]+"), lambda w: w.isin(COMMON_WORDS)))
-        latin = (spoken >= 5) & (spoken >= 0.6 * tokens) & (common >= 1) & (common * 15 >= spoken) & (line.rlike(_CLOSED) | (spoken >= 7))
-        return ~line.rlike(_BULLET) & (latin | ((cjk >= 9) & (cjk >= 0.5 * F.length(F.regexp_replace(line, r"\s", "")))))
+    # Each step looks at what the step before it has found of a line, so nothing is looked for twice,
+    # and the dear patterns only where the cheap ones leave it open.
+    def closed(line: Column) -> Column:
+        last = F.right(F.rtrim(F.rtrim(line, F.lit(" \t\n\x0b\f\r")), F.lit(_CLOSING_QUOTES)), F.lit(1))
+        return (last != "") & F.contains(F.lit(_CLOSERS), last)
 
+    ascii_only = lambda l: F.octet_length(l) == F.length(l)
     seen = F.transform("lines", lambda l: F.struct(
-        F.length(l).alias("n"), cells(l).alias("cells"), sentence(l).alias("sentence"), l.rlike(_BULLET).alias("bullet"),
-        l.rlike(_PAIR).alias("pair"), l.rlike(_CLOSED).alias("closed"),
-        (F.size(F.split(F.trim(l), r"\s+")) <= 6).alias("short"),
-        (l.rlike(_BULLET) | l.rlike(_PAIR) | F.trim(l).rlike(_ITEM)).alias("item"),
+        l.alias("line"), F.length(l).alias("n"), F.size(F.split(F.trim(l), r"\s+")).alias("tokens"), l.rlike(_BULLET).alias("bullet"), closed(l).alias("closed"),
+        F.when(ascii_only(l), 0).otherwise(_count(l, _CJK)).alias("cjk")))
+    seen = F.transform(seen, lambda s: F.struct(
+        s["line"].alias("line"), s["n"].alias("n"), s["tokens"].alias("tokens"), s["bullet"].alias("bullet"), s["closed"].alias("closed"), s["cjk"].alias("cjk"),
+        (~s["bullet"] & (F.contains(s["line"], F.lit(":")) | F.contains(s["line"], F.lit("="))) & s["line"].rlike(_PAIR)).alias("other_pair"),
+        F.when(s["bullet"] | (s["tokens"] < 5), 0).otherwise(_count(s["line"], _SPOKEN)).alias("spoken")))
+
+    def sentence(s: Column) -> Column:
+        common = F.size(F.filter(F.split(F.lower(s["line"]), r"[^\p{L}\p{M}]+"), lambda w: w.isin(COMMON_WORDS)))
+        latin = (s["spoken"] >= 5) & (s["spoken"] >= 0.6 * s["tokens"]) & (s["closed"] | (s["spoken"] >= 7)) & (
+            common >= F.greatest(F.lit(1), F.ceil(s["spoken"] / 15)))
+        return ~s["bullet"] & (latin | ((s["cjk"] >= 9) & (s["cjk"] >= 0.5 * F.length(F.regexp_replace(s["line"], r"\s", "")))))
+
+    seen = F.transform(seen, lambda s: F.struct(
+        s["n"].alias("n"), cells(s["line"]).alias("cells"), sentence(s).alias("sentence"), s["bullet"].alias("bullet"),
+        (s["other_pair"] | (s["bullet"] & s["line"].rlike(_PAIR))).alias("pair"), s["closed"].alias("closed"), (s["tokens"] <= 6).alias("short"),
+        (s["bullet"] | s["other_pair"] | ((s["tokens"] <= 6) & F.trim(s["line"]).rlike(_ITEM))).alias("item"),
     ))
     base = base.withColumn("seen", seen)
 
@@ -91,25 +114,27 @@ def text_statistics(documents: DataFrame) -> DataFrame:
         return F.aggregate(F.filter("seen", condition), F.lit(0), lambda acc, s: acc + s["n"])
 
     wide = F.array_sort(F.transform(F.filter("seen", lambda s: s["cells"] >= 2), lambda s: s["cells"]))
-    base = base.withColumn("usual", F.when(F.size(wide) > 0, F.element_at(wide, (F.size(wide) / 2).cast("int") + 1)).otherwise(F.lit(0)))
-    chars, size = F.length("text"), F.size("word_list")
-    cjk = _count(F.col("text"), _CJK)
-    common = F.size(F.filter("word_list", lambda w: w.isin(COMMON_WORDS)))
-    dense = F.length(F.regexp_replace("text", r"\s", ""))
-    items = _count(F.col("text"), r"(?:^|,\s)[^\s,.]{1,30}(?:\s[^\s,.]{1,20})?(?=,\s|$)")
-    listed = _ratio(F.size(F.filter("seen", lambda s: s["item"])), F.size("seen"))
-    inline = F.when(F.size("seen") <= 2, _ratio(items, _count(F.col("text"), ",") + 1)).otherwise(F.lit(0.0))
-    total = F.aggregate("seen", F.lit(0), lambda acc, s: acc + s["n"])
+    usual = F.when(F.size(wide) > 0, F.element_at(wide, (F.size(wide) / 2).cast("int") + 1)).otherwise(F.lit(0))
+    rest = lambda kept: F.length(F.regexp_replace("text", kept, ""))
+    base = (
+        base.withColumn("usual", usual).withColumn("dense", rest(r"\s+")).withColumn("letters", rest(r"[^\p{L}\p{M}]+"))
+        .withColumn("digits", rest(r"\P{N}+")).withColumn("cjk", F.when(ascii_only(F.col("text")), 0).otherwise(_count(F.col("text"), _CJK)))
+        .withColumn("common", F.size(F.filter("word_list", lambda w: w.isin(COMMON_WORDS))))
+        .withColumn("total", F.aggregate("seen", F.lit(0), lambda acc, s: acc + s["n"]))
+        .withColumn("commas", sign(F.col("text"), ",")).withColumn("items", F.when(F.col("commas") == 0, F.least(_count(F.col("text"), _LISTED), F.lit(1))).otherwise(_count(F.col("text"), _LISTED)))
+    )
+    chars, size, dense, cjk, total = F.length("text"), F.size("word_list"), F.col("dense"), F.col("cjk"), F.col("total")
+    inline = F.when(F.size("seen") <= 2, _ratio(F.col("items"), F.col("commas") + 1)).otherwise(F.lit(0.0))
     return base.select(
         "doc_id",
         chars.alias("chars"),
         size.alias("words"),
         _ratio(F.aggregate("word_list", F.lit(0), lambda acc, w: acc + F.length(w)), size).alias("mean_word_length"),
         F.coalesce(F.array_max(F.transform(F.split("text", r"\s+"), lambda w: F.length(w))), F.lit(0)).alias("longest_word"),
-        _ratio(_count(F.col("text"), r"[^\p{L}\p{M}\p{N}\s]"), dense).alias("symbol_ratio"),
-        _ratio(_count(F.col("text"), r"\p{N}"), dense).alias("digit_ratio"),
-        _ratio(_count(F.col("text"), r"[\p{L}\p{M}]"), dense).alias("letter_ratio"),
-        _ratio(common + cjk, size + cjk).alias("common_word_share"),
+        _ratio(dense - F.col("letters") - F.col("digits"), dense).alias("symbol_ratio"),
+        _ratio(F.col("digits"), dense).alias("digit_ratio"),
+        _ratio(F.col("letters"), dense).alias("letter_ratio"),
+        _ratio(F.col("common") + cjk, size + cjk).alias("common_word_share"),
         _ratio(F.size(F.array_distinct("word_list")) + cjk, size + cjk).alias("distinct_word_share"),
         F.size("seen").alias("line_count"),
         _ratio(total, F.size("seen")).alias("mean_line_length"),
@@ -117,10 +142,10 @@ def text_statistics(documents: DataFrame) -> DataFrame:
         share("bullet").alias("bullet_line_share"),
         share("pair").alias("pair_line_share"),
         share("short").alias("short_line_share"),
-        F.greatest(listed, inline).alias("item_share"),
+        F.greatest(share("item"), inline).alias("item_share"),
         _ratio(F.size(F.filter("seen", lambda s: (s["cells"] >= 2) & (s["cells"] == F.col("usual")))), F.size("seen")).alias("cell_line_share"),
-        _ratio(items, _count(F.col("text"), ",") + 1).alias("comma_item_share"),
-        _ratio(_count(F.col("text"), _MOJIBAKE) * 2, chars).alias("broken_share"),
+        _ratio(F.col("items"), F.col("commas") + 1).alias("comma_item_share"),
+        _ratio(F.when(ascii_only(F.col("text")), 0).otherwise(_count(F.col("text"), _MOJIBAKE)) * 2, chars).alias("broken_share"),
         _ratio(weight(lambda s: s["sentence"]), total).alias("sentence_share"),
     )
 
@@ -147,7 +172,7 @@ def _grow_rule(x: np.ndarray, y: np.ndarray, edges: list[np.ndarray]) -> list[tu
     """Adds the condition of the greatest information gain until no negatives are covered."""
     rule: list[tuple[int, str, float]] = []
     covered = np.ones(len(y), dtype=bool)
-    while len(rule) < 5:
+    while True:
         p, n = int((y & covered).sum()), int((~y & covered).sum())
         if p == 0 or n == 0:
             break
@@ -178,13 +203,26 @@ def _matches(rule: list[tuple[int, str, float]], x: np.ndarray) -> np.ndarray:
     return hit
 
 
-def learn_rules(x: np.ndarray, labels: np.ndarray, kinds=KINDS, seed: int = 7, most: int = 12) -> list[tuple[str, list[tuple[int, str, float]]]]:
+def _pays(rule: list[tuple[int, str, float]], covered: np.ndarray, positive: np.ndarray, left: np.ndarray, choices: int) -> bool:
+    """Whether the rule is shorter than the exceptions it saves, in bits.
+
+    A condition costs the choice of one of all thresholds and of its sign, half
+    of it as conditions come in any order; an exception costs the choice of a row.
+    """
+    rows = int(left.sum())
+    right, wrong = int((covered & positive).sum()), int((covered & ~positive).sum())
+    return 0.5 * len(rule) * np.log2(2 * max(2, choices)) < (right - wrong) * np.log2(max(2, rows))
+
+
+def learn_rules(x: np.ndarray, labels: np.ndarray, kinds=KINDS, seed: int = 7) -> list[tuple[str, list[tuple[int, str, float]]]]:
     """An ordered rule list by incremental reduced-error pruning.
 
     For each kind in turn, rules grow on two thirds of the remaining rows and
     lose final conditions as long as that helps on the last third; a rule that
-    is wrong on half of the rows it covers there ends the kind. Rows a rule
-    covers leave the data before the next one grows.
+    is wrong on half of the rows it covers there ends the kind, and so does one
+    that costs more to write down than the exceptions it saves (``_pays``).
+    Rows a rule covers leave the data before the next one grows. Nothing else
+    bounds the number of rules or conditions.
     """
     rng = np.random.default_rng(seed)
     left = np.ones(len(labels), dtype=bool)
@@ -193,7 +231,7 @@ def learn_rules(x: np.ndarray, labels: np.ndarray, kinds=KINDS, seed: int = 7, m
     # midpoints between neighbouring quantiles generalise better than the values themselves
     edges = [(e[1:] + e[:-1]) / 2 for e in edges]
     for kind in kinds:
-        for _ in range(most):
+        while True:
             rows = np.nonzero(left)[0]
             y = labels[rows] == kind
             if y.sum() < 3:
@@ -212,7 +250,8 @@ def learn_rules(x: np.ndarray, labels: np.ndarray, kinds=KINDS, seed: int = 7, m
             best = max(((worth(rule[:k])[0], -k) for k in range(1, len(rule) + 1)))
             rule = rule[: -best[1]]
             value, good = worth(rule)
-            if value <= 0 or good == 0:
+            covered = _matches(rule, x) & left
+            if value <= 0 or good == 0 or not _pays(rule, covered, labels == kind, left, sum(map(len, edges))):
                 break
             rules.append((kind, rule))
             left &= ~_matches(rule, x)
@@ -243,6 +282,12 @@ def fit_text_kinds(statistics: DataFrame, labels: DataFrame, most: int = MAX_LAB
     return rules_case(learn_rules(sample[list(STATISTICS)].to_numpy(dtype=float), sample["label"].to_numpy(dtype=object)))
 
 
+def used_statistics(case: str) -> list[str]:
+    """The statistics that ``text_kinds`` reads for a CASE expression."""
+    named = set(re.findall(r"[a-z_]+", case))
+    return [c for c in STATISTICS if c in named or c in ("letter_ratio", "digit_ratio")]
+
+
 def text_kinds(statistics: DataFrame, case: str) -> DataFrame:
     """Statistics with ``text_kind``; texts without a letter or digit are junk whatever the rules say."""
     return statistics.withColumn("text_kind", F.when((F.col("letter_ratio") + F.col("digit_ratio")) == 0, "junk").otherwise(F.expr(case)))

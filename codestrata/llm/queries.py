@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.llm import docs, leakage, natural, origin, packing, quality, syntax
+from codestrata.llm.files import spread
 from codestrata.session import Stage
 from codestrata.sources.tables import Graph, table
 
@@ -100,8 +101,12 @@ def p10_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
-    statistics = Stage(spark, "p10").keep(quality.text_statistics(table(spark, folder, "documents")))
-    case = quality.fit_text_kinds(statistics, table(spark, folder, "doc_labels"))
+    """Rules are learned from the labelled documents; the others' statistics are computed as far as the rules ask for them."""
+    documents, labels = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id"), table(spark, folder, "doc_labels")
+    labelled = documents.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
+    case = quality.fit_text_kinds(quality.text_statistics(labelled), labels)
+    # kept, as a filter on the kind would be pushed into the statistics and compute them once for each rule
+    statistics = Stage(spark, "p10").keep(quality.text_statistics(documents).select("doc_id", *quality.used_statistics(case)))
     return quality.text_kinds(statistics, case).where("text_kind <> 'prose'").select("doc_id", "text_kind")
 
 
