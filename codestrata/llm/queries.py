@@ -65,7 +65,6 @@ def p6_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _packed(spark: SparkSession, folder: str) -> DataFrame:
-    Graph(spark, folder)
     stage = Stage(spark, "p8")
     items = stage.keep(packing.pieces(table(spark, folder, "documents")))
     return packing.pack_documents(items)
@@ -82,7 +81,6 @@ def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
-    Graph(spark, folder)
     return leakage.leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 

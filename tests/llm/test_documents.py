@@ -44,6 +44,37 @@ def test_prompt_tokens_bear_no_loss(spark):
     assert 0 < r.loss_tokens < r.tokens
 
 
+def test_first_paragraph_bears_no_loss(spark):
+    texts = ["ask this\n \nanswer that and more", "one paragraph\nof two lines", "ends in nothing\n\n  \n", "\n\nask\n\nsay", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.tokens, r.loss_tokens) for r in packing.pieces(docs).collect()}
+    assert 0 < got[0][1] < got[0][0] and got[1][0] == got[1][1] and got[2][0] == got[2][1] and 0 < got[3][1] < got[3][0] and 4 not in got
+
+
+@pytest.mark.parametrize("limits", [(2048, 1, 1000), (100, 3, 40), (50, 64, 7)])
+def test_every_limit_binds_and_every_token_is_packed(spark, limits):
+    capacity, segments, loss = limits
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(i, " ".join("word" for _ in range(rng.choice([2, 9, 60, 1900]))) + ("\n\n" + "say " * rng.randrange(1, 90)) * (i % 2)) for i in range(60)], "doc_id long, text string")
+    items = packing.pieces(docs, capacity, loss_tokens=loss).cache()
+    packed = packing.pack_documents(items, capacity, segments, loss, per_group=30)
+    fill = packing.container_fill(packed, capacity)
+    top = fill.selectExpr("max(tokens) t", "max(segments) s", "max(loss_tokens) l", "sum(tokens) n").first()
+    assert top.t <= capacity and top.s <= segments and top.l == loss and (segments > 3 or top.s == segments)
+    assert top.n == items.selectExpr("sum(tokens)").first()[0]
+    whole = items.selectExpr("doc_id", "tokens", "loss_tokens", "token_start", "piece").orderBy("doc_id", "piece").collect()
+    for a, b in zip(whole, whole[1:]):
+        assert (b.token_start == a.token_start + a.tokens and max(a.tokens / capacity, a.loss_tokens / loss) == 1) if a.doc_id == b.doc_id else b.token_start == 0
+
+
+def test_pieces_beyond_a_limit_are_an_error(spark):
+    items = spark.createDataFrame([(1, 0, 0, 1500, 1500)], "doc_id long, piece int, token_start long, tokens int, loss_tokens int")
+    with pytest.raises(ValueError):
+        packing.pack_documents(items, loss_tokens=1000)
+    with pytest.raises(ValueError):
+        packing.pack(np.array([[1500, 1, 1500]]), np.array([2048, 512, 1000]))
+
+
 def brute_leaks(docs, items):
     return sorted((d, i) for d, t in docs for i, p in items if t and p and leakage.shares_run(t, p))
 
