@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from codestrata.llm.files import source_files
 from codestrata.llm.lexers import COMMENTS, STRINGS, plain_text
 from codestrata.llm.peg import PackratGrammar
+from codestrata.session import python_rows
 
 #: A documentation worth keeping has so many words, or so many Chinese or Japanese characters.
 LEAST_WORDS, LEAST_CJK = 5, 8
@@ -140,8 +141,8 @@ def documented_functions(functions: DataFrame, files: DataFrame, contents: DataF
     no content, or whose documentation has fewer than five words give no row.
     The functions of one file go to the task that holds its content.
     """
-    source = source_files(files, contents)
+    source = source_files(files, contents, alike=True)
     listed = functions.where("start_line is not null and end_line is not null and func_id is not null").groupBy("file_id").agg(
         F.collect_list(F.struct("func_id", "qualified_name", "start_line", "end_line")).alias("functions")
     )
-    return source.join(listed, "file_id").select("file_id", "language", "content", "functions").mapInPandas(_pairs, PAIRS)
+    return python_rows(source.join(listed, "file_id").select("file_id", "language", "content", "functions"), _pairs, PAIRS)

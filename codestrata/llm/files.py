@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.lexers import LANGUAGES
+from codestrata.llm.lexers import ALIKE, LANGUAGES
+from codestrata.operators.store import newest_contents
 from codestrata.sources.tables import project_files
 
 
@@ -26,21 +27,21 @@ def spread(scan: DataFrame, key: str) -> DataFrame:
     return scan.repartition(tasks(scan), key)
 
 
-def with_language(files: DataFrame) -> DataFrame:
-    """Adds ``ext`` (lower case) and ``language``, null where the extension is of no known language."""
+def with_language(files: DataFrame, alike: bool = False) -> DataFrame:
+    """Adds ``ext`` (lower case) and ``language``, null where the extension is of no known language.
+
+    With ``alike`` languages that read alike (C++, JSX) count as the known one.
+    """
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    names = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
+    names = F.create_map(*[F.lit(x) for pair in (LANGUAGES | (ALIKE if alike else {})).items() for x in pair])
     return files.withColumn("ext", ext).withColumn("language", names[F.col("ext")])
 
 
-def source_files(files: DataFrame, contents: DataFrame) -> DataFrame:
+def source_files(files: DataFrame, contents: DataFrame, alike: bool = False) -> DataFrame:
     """file_id, path, project, language and content of files with content in a known language.
 
-    A file_id delivered several times counts once, with its newest content.
+    ``alike`` is that of ``with_language``. A file_id delivered several times counts once, with its newest content.
     Partitions are many and fixed in number, for the Python stage that follows.
     """
-    newest = contents.where("content is not null and file_id is not null").groupBy("file_id").agg(
-        F.max_by("content", F.struct(F.col("loaded_at"), F.xxhash64("content"))).alias("content")
-    )
-    spread = newest.repartition(tasks(contents), "file_id")
-    return spread.join(with_language(project_files(files)).where("language is not null"), "file_id")
+    many = newest_contents(contents).repartition(tasks(contents), "file_id")
+    return many.join(with_language(project_files(files), alike).where("language is not null"), "file_id")

@@ -6,18 +6,49 @@ are not checked), and no rule is left-recursive.
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 from codestrata.llm.derivatives import Grammar
 
+#: Parameters in Python's order: without defaults before those with, one slash, one star; ``typed`` marks where an annotation may stand.
+_PARAMETERS = r"""
+params: plain ["," [params | slash | star]] | lateparams
+lateparams: given ["," [lateparams | lateslash | star]]
+slash: "/" ["," [behind | star]]
+lateslash: "/" ["," [latebehind | star]]
+behind: plain ["," [behind | star]] | latebehind
+latebehind: given ["," [latebehind | star]]
+star: "*" starred ["," [keyed | doubled]] | "*" "," keyed | doubled
+keyed: (plain | given) ["," [keyed | doubled]]
+doubled: "**" plain [","]
+plain: ID typed
+given: ID typed "=" test
+starred: ID startyped
+allparams: params | star
+"""
+_PARAMETER_RULES = "lateparams lateslash latebehind allparams params slash behind star keyed doubled plain given starred startyped typed".split()
+
+
+def _parameters(prefix: str, typed: str) -> str:
+    """The parameter rules with names of their own, and with or without annotations."""
+    text = _PARAMETERS + f"typed: {typed}\nstartyped: {typed.replace('test', '[' + chr(34) + '*' + chr(34) + '] test') if typed != 'nothing*' else typed}\n"
+    return re.sub(r"\b(" + "|".join(_PARAMETER_RULES) + r")\b", lambda m: prefix + m.group(), text)
+
+
 PYTHON = r"""
 start: line*
 line: NEWLINE | compound | simple
 simple: small (";" small)* [";"] NEWLINE
-small: tests [assigned] | "del" tests | "pass" | "break" | "continue" | "return" [tests] | "raise" [test ["from" test]]
+small: tests | (targets "=")+ (tests | yields) | single AUG (tests | yields) | single ":" test ["=" (tests | yields)]
+ | "del" deleted ("," deleted)* [","] | "pass" | "break" | "continue" | "return" [tests] | "raise" [test ["from" test]]
  | "import" dotted ["as" ID] ("," dotted ["as" ID])* | "from" source "import" imported
- | "global" names | "nonlocal" names | "assert" test ["," test] | "type" ID "=" test
-assigned: AUG (tests | yields) | ("=" (tests | yields))+ | ":" test ["=" (tests | yields)]
+ | "global" names | "nonlocal" names | "assert" test ["," test] | "type" ID [typeparams] "=" test | "ID" ID [typeparams] "=" test
+targets: target ("," target)* [","]
+target: ["*"] (ID | reference | "(" [targets] ")" | "[" [targets] "]")
+single: ID | reference | "(" single ")"
+deleted: ID | reference | "(" [deleted ("," deleted)* [","]] ")" | "[" [deleted ("," deleted)* [","]] "]"
+reference: atom trailer* ("." ID | "[" subscripts "]")
 yields: "yield" ["from"] [tests]
 names: ID ("," ID)*
 dotted: ID ("." ID)*
@@ -25,34 +56,42 @@ source: ("." | NUM)* dotted | ("." | NUM)+
 imported: "*" | aliases | "(" aliases [","] ")"
 aliases: ID ["as" ID] ("," ID ["as" ID])*
 suite: simple | NEWLINE INDENT line+ DEDENT
-compound: "if" test ":" suite ("elif" test ":" suite)* ["else" ":" suite] | ["async"] "while" test ":" suite ["else" ":" suite]
- | ["async"] "for" tests ":" suite ["else" ":" suite] | ["async"] "with" withitems ":" suite
- | "try" ":" suite (("except" ["*"] [tests ["as" ID]] ":" suite)+ ["else" ":" suite] ["finally" ":" suite] | "finally" ":" suite)
- | decorator* (["async"] "def" ID [typeparams] "(" [params] ")" ["->" test] ":" suite | "class" ID [typeparams] ["(" [args] ")"] ":" suite)
- | "ID" tests ":" NEWLINE INDENT ("ID" tests ["as" ID] ["if" test] ":" suite)+ DEDENT
-decorator: "@" test NEWLINE
-typeparams: "[" tests "]"
-withitems: test ["as" test] ("," test ["as" test])* [","]
-params: param ("," param)* [","]
-param: ID [":" test] ["=" test] | "*" [ID [":" test]] | "BIN" ID [":" test] | "/" | "BIN"
+compound: "if" named ":" suite ("elif" named ":" suite)* ["else" ":" suite] | ["async"] "while" named ":" suite ["else" ":" suite]
+ | ["async"] "for" targets "in" tests ":" suite ["else" ":" suite] | ["async"] "with" withitems ":" suite
+ | "try" ":" suite (("except" ["*"] [test ["as" ID]] ":" suite)+ ["else" ":" suite] ["finally" ":" suite] | "finally" ":" suite)
+ | decorator* (["async"] "def" ID [typeparams] "(" [d_allparams] ")" ["->" test] ":" suite | "class" ID [typeparams] ["(" [args] ")"] ":" suite)
+ | "ID" tests ":" NEWLINE INDENT ("ID" patterns ["if" named] ":" suite)+ DEDENT
+patterns: pattern ("," pattern)* [","]
+pattern: item ["as" ID]
+decorator: "@" named NEWLINE
+typeparams: "[" typeparam ("," typeparam)* [","] "]"
+typeparam: ["*" | "**"] ID [":" test] ["=" test]
+withitems: withitem ("," withitem)* | "(" withitem ("," withitem)* [","] ")"
+withitem: test ["as" target]
 tests: item ("," item)* [","] | yields
 item: test | "*" test
-test: chain ["if" chain "else" test] [":=" test] | "lambda" [params] ":" test
+named: test | ID ":=" test
+test: chain ["if" chain "else" test] | "lambda" [l_allparams] ":" test
 chain: unary (infix unary)*
-infix: "BIN" | "SIGN" | "*" | "<" | ">" | "in" | "not" "in" | "is" ["not"] | "and" | "or" | "@" | "&" | "/" | "|"
+infix: "BIN" | "**" | "SIGN" | "*" | "<" | ">" | "in" | "not" "in" | "is" ["not"] | "and" | "or" | "@" | "&" | "/" | "|"
 unary: ("not" | "SIGN" | "~" | "await")* atom trailer*
 atom: ID | NUM | STR+ | "(" [group] ")" | "[" [group] "]" | "{" [entries] "}"
 group: groupitem (comp+ | ("," groupitem)* [","]) | yields
-groupitem: item | "lambda" [params] ":" test
-comp: ["async"] "for" tests ("if" test)*
-entries: entry (comp+ | ("," entry)* [","])
-entry: test [":" test] | "BIN" chain | "*" chain
-trailer: "(" [args] ")" | "[" subscripts "]" | "." (ID)
-args: arg ("," arg)* [","] | test comp+
-arg: test ["=" test] | "*" test | "BIN" test
+groupitem: named | "*" test | patternas
+patternas: item "as" ID
+comp: ["async"] "for" targets "in" chain ("if" chain)*
+entries: pair (comp+ | ("," pair)* [","]) | member (comp+ | ("," member)* [","])
+pair: test ":" test ["as" ID] | "**" chain
+member: named | "*" chain
+trailer: "(" [args] ")" | "[" subscripts "]" | "." ID
+args: arglist | named comp+
+arglist: (named | "*" test | patternas) ["," [arglist]] | keywords | doublings
+keywords: (ID "=" (test | patternas) | "*" test) ["," [keywords | doublings]]
+doublings: (ID "=" test | "**" test) ["," [doublings]]
 subscripts: subscript ("," subscript)* [","]
-subscript: [item] [":" [test] [":" [test]]]
-"""
+subscript: named | "*" test | [test] ":" [test] [":" [test]]
+nothing: "NEVER"
+""" + _parameters("d_", '[":" test]') + _parameters("l_", "nothing*")
 
 #: What the languages with braces share; each adds its own words.
 BRACED = r"""

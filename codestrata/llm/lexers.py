@@ -12,6 +12,9 @@ LANGUAGES = {
     "go": "go", "c": "c", "h": "c", "rs": "rust", "cs": "csharp",
 }
 
+#: Extensions whose comments and literals read like another language's, though its grammar does not hold for them.
+ALIKE = {"jsx": "javascript", "tsx": "typescript", "vue": "javascript", "cpp": "c", "hpp": "c", "cc": "c", "cxx": "c"}
+
 KEYWORDS = {
     "python": "and as assert async await break class continue def del elif else except False finally for from global if "
               "import in is lambda None nonlocal not or pass raise return True try while with yield",
@@ -125,7 +128,7 @@ def _kinds(language: str) -> dict[str, str]:
     if language == "c":
         kinds |= {w: "TYPE" for w in C_TYPES.split()}
     if language == "python":
-        kinds |= {"None": "NUM", "True": "NUM", "False": "NUM", "//": "BIN", ">>": "BIN", "->": "->", "...": "NUM", ":=": ":="}
+        kinds |= {"None": "NUM", "True": "NUM", "False": "NUM", "//": "BIN", ">>": "BIN", "**": "**", "/": "/", "->": "->", "...": "NUM", ":=": ":="}
         kinds |= {w: "AUG" for w in "+= -= *= /= //= %= @= &= |= ^= >>= <<= **=".split()}
     if language == "go":
         kinds |= {"<-": "<-"}

@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.llm.files import source_files
+from codestrata.sources.tables import project_files
 from codestrata.llm.lexers import plain_text, text_pieces
+from codestrata.session import python_rows
 
 NATURAL = ("en", "zh", "de", "fr", "es", "ru", "ja")
 #: Running text has so many words, or so many Chinese or Japanese characters.
@@ -92,11 +94,12 @@ def _joined(short: list[str]) -> Iterator[str]:
 _CODE_SIGN = re.compile(r"[(){}\[\];=]")
 # How a line of markup begins, and the words that follow # in sources.
 _MARKUP_START = ("<!", "<?", "</", "<html", "<head", "<body", "<div", "<p")
-_HASH_WORDS = ("#[", "#!", "#include", "#define", "#if", "#end", "#pragma", "#el", "#undef", "#error", "#import")
+_HASH_WORDS = re.compile(r"#\s*(?:\[|!|include|define|if|end|pragma|el|undef|error|warning|import|line|region|nullable)")
 
 
-def is_source(text: str, pieces: list[tuple[str, str, int]]) -> bool:
-    """Whether the lines outside comments and strings read as code, not as prose or markup."""
+def is_source(text: str, pieces: list[tuple[str, str, int]], language: str = "") -> bool:
+    """Whether the lines outside comments and strings read as code, not as prose or markup; scripts may hold markup."""
+    markup = () if language in ("javascript", "typescript") and not text.lstrip().startswith(("<!", "<?", "<html")) else _MARKUP_START
     gaps, last = [], 0
     for _, body, at in pieces:
         gaps.append(text[last:at])
@@ -107,7 +110,7 @@ def is_source(text: str, pieces: list[tuple[str, str, int]]) -> bool:
         return True
     foreign = 0
     for line in lines:
-        if line.startswith(_MARKUP_START) or (line.startswith(("#", "* ", "- ")) and not line.startswith(_HASH_WORDS)):
+        if line.startswith(markup) or (line.startswith(("#", "* ", "- ")) and not _HASH_WORDS.match(line)):
             foreign += 1
         elif not _CODE_SIGN.search(line) and (line.count(" ") >= LEAST_WORDS - 1 or not line.isascii()):
             parts = line.split()
@@ -121,7 +124,7 @@ def segments(content: str, language: str) -> list[str]:
     """Running text in the comments and string literals of a source file."""
     text = plain_text(content)
     pieces = text_pieces(text, language)
-    if not pieces or not is_source(text, pieces):
+    if not pieces or not is_source(text, pieces, language):
         return []
     out: list[str] = []
     block: list[str] = []
@@ -194,7 +197,7 @@ def fit_languages(documents: DataFrame) -> np.ndarray:
     Wrong labels only blur the counts.
     """
     rows = documents.where("text is not null").select("text", declared_language(F.col("lang")).alias("code")).where("code is not null")
-    got = rows.mapInPandas(_counts, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    got = python_rows(rows, _counts, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     table = np.full((len(NATURAL), BUCKETS), 0.05)
     np.add.at(table, (got["lang"].to_numpy(), got["bucket"].to_numpy()), got["n"].to_numpy())
     return np.log(table / table.sum(axis=1, keepdims=True))
@@ -207,12 +210,14 @@ def identify(text: str, model: np.ndarray) -> str:
 FOUND = "file_id long, nl_lang string, segments int, nl_bytes long, file_bytes long"
 
 
-def natural_language(files: DataFrame, contents: DataFrame, documents: DataFrame) -> DataFrame:
+def natural_language(files: DataFrame, contents: DataFrame, documents: DataFrame, docstrings: DataFrame | None = None) -> DataFrame:
     """file_id, nl_lang, segments, nl_bytes and file_bytes, a row per file and language found in it.
 
     Files without content or with an unknown extension, and files that are no
     source code at all, give no row; nor do comments and literals of code,
-    queries, paths or fewer words than running text has.
+    queries, paths or fewer words than running text has. ``docstrings``
+    (file_id, docstring) speak for the files without content, of which no size
+    is known (file_bytes is null).
     """
     spark = files.sparkSession
     shared = spark.sparkContext.broadcast(fit_languages(documents).astype(np.float32))
@@ -237,4 +242,19 @@ def natural_language(files: DataFrame, contents: DataFrame, documents: DataFrame
             yield pd.DataFrame(rows, columns=["file_id", "nl_lang", "segments", "nl_bytes", "file_bytes"]).astype(
                 {"file_id": "int64", "segments": "int32", "nl_bytes": "int64", "file_bytes": "int64"})
 
-    return source_files(files, contents).select("file_id", "language", "content").mapInPandas(found, FOUND)
+    source = source_files(files, contents, alike=True)
+    out = python_rows(source.select("file_id", "language", "content"), found, FOUND)
+    if docstrings is None:
+        return out
+
+    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(i, identify(s, shared.value), 1, len(s.encode())) for i, text in zip(pdf["file_id"], pdf["docstring"])
+                    for s in _paragraphs(_lines("string", plain_text(text), ""))]
+            yield pd.DataFrame(rows, columns=["file_id", "nl_lang", "segments", "nl_bytes"]).astype({"file_id": "int64", "segments": "int32", "nl_bytes": "int64"})
+
+    without = docstrings.where("docstring is not null").select("file_id", "docstring").distinct().join(
+        contents.where("content is not null").select("file_id").distinct(), "file_id", "left_anti").join(project_files(files).select("file_id"), "file_id", "left_semi")
+    spoken = python_rows(without, told, "file_id long, nl_lang string, segments int, nl_bytes long").groupBy("file_id", "nl_lang").agg(
+        F.sum("segments").cast("int").alias("segments"), F.sum("nl_bytes").alias("nl_bytes"))
+    return out.unionByName(spoken.withColumn("file_bytes", F.lit(None).cast("long")))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from codestrata.llm.files import tasks
 from codestrata.llm.lexers import LANGUAGES, plain_text
+from codestrata.operators.store import newest_contents
+from codestrata.session import python_rows
 from codestrata.sources.tables import project_files
 
 #: Names of attribute files, and the attributes that mark a path.
@@ -86,6 +88,10 @@ lex.yy.c generated
 VENDOR_ROOTS = ("vendor", "vendors", "third_party", "third-party", "thirdparty", "3rdparty", "3rd_party", "external", "externals",
                 "deps", "node_modules", "bower_components", "site-packages", "dist-packages")
 
+#: A packed file has so many semicolons and braces a line; hand-written ones have one or two.
+PACKED_SIGNS = 12
+#: Bytes of attribute files, at most, that are broadcast.
+MAX_BROADCAST_RULES = 8 << 20
 #: A mined pattern holds in so many files of so many projects, and for this share of the files that show it.
 PATTERN_FILES, PATTERN_PROJECTS, PATTERN_SHARE = 4, 2, 0.9
 
@@ -130,17 +136,21 @@ def glob_regex(pattern: str) -> re.Pattern:
     return re.compile(("(?:[^/]+/)*" if anywhere else "") + out + r"\Z")
 
 
-def read_attributes(text: str) -> list[tuple[str, str, bool]]:
-    """(glob, mark, value) of every line of an attribute file that sets or unsets a mark."""
+def read_attributes(text: str) -> list[tuple[str, str, bool | None]]:
+    """(glob, mark, value) of every line of an attribute file that names a mark: True for ``mark``, False for ``-mark``, None for ``!mark``.
+
+    A pattern that ends in a slash names a directory, and attributes are those
+    of files, so it is left out.
+    """
     rules = []
     for line in plain_text(text).split("\n"):
         parts = line.split()
-        if len(parts) < 2 or parts[0].startswith("#"):
+        if len(parts) < 2 or parts[0].startswith("#") or parts[0].endswith("/"):
             continue
         for word in parts[1:]:
             name, _, value = word.lstrip("-!").partition("=")
             if name in MARKS:
-                rules.append((parts[0], MARKS[name], not word.startswith(("-", "!")) and value.lower() not in ("false", "0", "off")))
+                rules.append((parts[0], MARKS[name], None if word.startswith("!") else not word.startswith("-") and value.lower() not in ("false", "0", "off")))
     return rules
 
 
@@ -157,7 +167,9 @@ class Attributes:
         for directory, regex, mark, value in self.rules:
             inside = path if not directory else path.removeprefix(directory + "/") if path.startswith(directory + "/") else None
             if inside is not None and regex.match(inside):
-                found[mark] = value
+                found.pop(mark, None)
+                if value is not None:
+                    found[mark] = value
         return found
 
 
@@ -193,14 +205,14 @@ def evidence(content: str, ext: str) -> tuple[str | None, str | None]:
     if GENERATED_HEADER.search(head):
         return "generated", prefix
     lines = [line for line in text.split("\n") if line.strip()]
-    size = len(text)
-    if size >= 400:
+    size = len(text.strip())
+    if size:
         blob = sum(m.end("data") for line in lines if (m := _LITERALS.match(line))) + sum(len(x) for x in _LONG_LITERAL.findall(text))
         if blob >= 0.6 * size:
             return "data", prefix
-        longest = max(map(len, lines), default=0)
         spaces = sum(1 for c in text if c.isspace())
-        if ext in ("js", "ts", "css", "jsx", "mjs") and longest >= 300 and size / max(1, len(lines)) >= 200 and spaces <= 0.2 * size:
+        dense = sum(map(text.count, ";{}")) >= PACKED_SIGNS * len(lines)
+        if ext in ("js", "ts", "css", "jsx", "mjs") and dense and spaces <= 0.2 * size:
             return "minified", prefix
     return None, prefix
 
@@ -231,14 +243,20 @@ def library_names(path: str) -> list[str]:
     return found
 
 
-JUDGED = "file_id long, project string, declared int, path_mark string, content_mark string, prefix string, name_word string, libraries array<string>, patterns array<string>"
+JUDGED = "file_id long, project string, declared int, path_mark string, content_mark string, prefix string, libraries array<string>, patterns array<string>"
+
 
+def _judge_with(shared):
+    """Judges rows whose rules stand beside them, or in ``shared``, a broadcast of rules by project."""
+    return lambda batches: _judge(batches, None if shared is None else shared.value)
 
-def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _judge(batches: Iterator[pd.DataFrame], declared_rules: dict | None) -> Iterator[pd.DataFrame]:
     repositories: dict[str, Attributes] = {}
     for pdf in batches:
         rows = []
-        for file_id, path, project, content, rules in zip(pdf["file_id"], pdf["path"], pdf["project"], pdf["content"], pdf["rules"]):
+        own_rules = pdf["rules"] if declared_rules is None else pdf["project"].map(declared_rules.get)
+        for file_id, path, project, content, rules in zip(pdf["file_id"], pdf["path"], pdf["project"], pdf["content"], own_rules):
             inside = path.partition("/")[2] or path
             declared, mark = None, None
             if rules is not None:
@@ -254,9 +272,8 @@ def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 mark = next((k for k, v in _defaults().marks(inside).items() if v), None)
             ext = path.rpartition(".")[2].lower()
             reason, prefix = evidence(content, ext) if isinstance(content, str) else (None, None)
-            word = re.match(r"[A-Za-z][a-z0-9]*", path.rpartition("/")[2])
-            rows.append((file_id, project, declared, mark, reason, prefix, word.group().lower() if word else None, library_names(inside), features(path)))
-        out = pd.DataFrame(rows, columns=["file_id", "project", "declared", "path_mark", "content_mark", "prefix", "name_word", "libraries", "patterns"])
+            rows.append((file_id, project, declared, mark, reason, prefix, library_names(inside), features(path)))
+        out = pd.DataFrame(rows, columns=["file_id", "project", "declared", "path_mark", "content_mark", "prefix", "libraries", "patterns"])
         out["declared"] = out["declared"].astype("Int32")
         yield out.astype({"file_id": "int64"})
 
@@ -266,22 +283,30 @@ def attribute_rules(files: DataFrame, contents: DataFrame) -> DataFrame:
     own = files.where(F.element_at(F.split("path", "/"), -1).isin(*ATTRIBUTE_FILES))
     directory = F.regexp_replace(F.regexp_replace("path", r"^[^/]+/", ""), r"/?[^/]+$", "")
     return (
-        own.join(contents.where("content is not null").select("file_id", "content"), "file_id")
-        .groupBy("project").agg(F.collect_list(F.struct(directory.alias("directory"), F.col("content").alias("text"))).alias("rules"))
+        own.join(newest_contents(contents), "file_id")
+        .groupBy("project").agg(F.array_sort(F.collect_set(F.struct(directory.alias("directory"), F.col("content").alias("text")))).alias("rules"))
     )
 
 
-def judged_files(files: DataFrame, contents: DataFrame) -> DataFrame:
-    """One row per file: what its attributes, its path and its content say, and the patterns it shows."""
+def judged_files(files: DataFrame, contents: DataFrame, stage) -> DataFrame:
+    """One row per file: what its attributes, its path and its content say, and the patterns it shows.
+
+    Attribute files of up to MAX_BROADCAST_RULES bytes together are handed to every
+    task, so a project with most of the files is no larger a group than any
+    other; beyond that they are joined by project.
+    """
     known = project_files(files).where("path is not null")
-    newest = contents.where("content is not null and file_id is not null").groupBy("file_id").agg(
-        F.max_by("content", F.struct(F.col("loaded_at"), F.xxhash64("content"))).alias("content")
-    )
-    all_files = known.repartition(tasks(files), "file_id").join(newest, "file_id", "left")
-    rules = attribute_rules(known, contents)
-    return (
-        all_files.join(rules, "project", "left").select("file_id", "path", "project", "content", "rules").mapInPandas(_judge, JUDGED)
-    )
+    all_files = known.repartition(tasks(files), "file_id").join(newest_contents(contents), "file_id", "left")
+    rules = stage.keep(attribute_rules(known, contents))
+    size = rules.agg(F.sum(F.aggregate("rules", F.lit(0), lambda n, r: n + F.octet_length(r["text"])))).first()[0] or 0
+    shared = None
+    if size <= MAX_BROADCAST_RULES:
+        texts = {r["project"]: [x.asDict() for x in r["rules"]] for r in rules.collect()}
+        shared = files.sparkSession.sparkContext.broadcast(texts)
+        all_files = all_files.withColumn("rules", F.lit(None).cast("string"))
+    else:
+        all_files = all_files.join(rules, "project", "left")
+    return python_rows(all_files.select("file_id", "path", "project", "content", "rules"), _judge_with(shared), JUDGED)
 
 
 def machine_made(files: DataFrame, contents: DataFrame, stage) -> DataFrame:
@@ -295,7 +320,7 @@ def machine_made(files: DataFrame, contents: DataFrame, stage) -> DataFrame:
     comment, by minified lines and by literal data. Files without content are
     judged by path alone; null paths and ids give no row.
     """
-    judged = stage.keep(judged_files(files, contents))
+    judged = stage.keep(judged_files(files, contents, stage))
     known = F.when(F.col("declared").isNotNull(), F.col("declared") == 1).otherwise(F.col("path_mark").isNotNull() | F.col("content_mark").isNotNull())
     shown = judged.select("project", known.alias("made"), F.explode("patterns").alias("pattern"))
     mined = (

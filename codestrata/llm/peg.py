@@ -103,9 +103,65 @@ class PackratGrammar:
             got = step(e[1], at)
             return (at, ()) if (got is None) == (kind == "!") else None
 
-        got = step(("name", start), 0)
+        try:
+            got = step(("name", start), 0)
+        except RecursionError:
+            got = self._parse_deep(text, start, actions, tests)
         if got is None:
             return None
         for name, a, b in got[1]:
             actions[name](a, b)
         return got[0]
+
+    def _parse_deep(self, text: str, start: str, actions, tests):
+        """The same parse on a stack of its own, for texts nested deeper than Python's calls may be."""
+        memo: dict[tuple[str, int], tuple] = {}
+
+        def step(e, at):
+            kind = e[0]
+            if kind == "match":
+                m = e[1].match(text, at)
+                return None if m is None else (m.end(), ())
+            if kind == "test":
+                return (at, ()) if tests[e[1]](at) else None
+            if kind == "name":
+                key = (e[1], at)
+                if key not in memo:
+                    memo[key] = None
+                    got = yield self.rules[e[1]], at
+                    memo[key] = None if got is None else (got[0], (*got[1], (e[1], at, got[0])) if actions and e[1] in actions else got[1])
+                return memo[key]
+            if kind == "any":
+                for x in e[1]:
+                    got = yield x, at
+                    if got is not None:
+                        return got
+                return None
+            if kind in ("row", "*", "+"):
+                seen: list = []
+                begun, parts = at, iter(e[1]) if kind == "row" else iter(lambda: e[1], None)
+                for x in parts:
+                    got = yield x, at
+                    if kind == "row" and got is None:
+                        return None
+                    if kind != "row" and (got is None or got[0] == at):
+                        break
+                    at = got[0]
+                    seen += got[1]
+                return None if kind == "+" and at == begun else (at, tuple(seen))
+            got = yield e[1], at
+            if kind == "?":
+                return got or (at, ())
+            return (at, ()) if (got is None) == (kind == "!") else None
+
+        waiting, got = [step(("name", start), 0)], None
+        while waiting:
+            try:
+                following = waiting[-1].send(got)
+            except StopIteration as done:
+                got = done.value
+                waiting.pop()
+            else:
+                got = None
+                waiting.append(step(*following))
+        return got

@@ -36,9 +36,10 @@ def p3_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return _documented(spark, folder)
 
 
-def _natural(spark: SparkSession, folder: str) -> DataFrame:
+def _natural(spark: SparkSession, folder: str, docstrings: bool = False) -> DataFrame:
     graph = Graph(spark, folder)
-    return natural.natural_language(graph.files, graph.file_contents, table(spark, folder, "documents"))
+    own = graph.functions.select("file_id", "docstring").union(graph.classes.select("file_id", "docstring")) if docstrings else None
+    return natural.natural_language(graph.files, graph.file_contents, table(spark, folder, "documents"), own)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -46,8 +47,8 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_shares(spark: SparkSession, folder: str) -> DataFrame:
-    """Share of each file's bytes that is running text of each language."""
-    return _natural(spark, folder).withColumn("share", F.round(F.col("nl_bytes") / F.col("file_bytes"), 6))
+    """Share of each file's bytes that is running text of each language; null for files known by their docstrings alone."""
+    return _natural(spark, folder, docstrings=True).withColumn("share", F.round(F.col("nl_bytes") / F.col("file_bytes"), 6))
 
 
 def _verdicts(spark: SparkSession, folder: str) -> DataFrame:

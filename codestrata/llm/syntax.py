@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from codestrata.llm.files import source_files
 from codestrata.llm.grammars import grammar
 from codestrata.llm.lexers import grammar_tokens, plain_text
+from codestrata.session import python_rows
 
 VERDICT = "file_id long, path string, project string, language string, failure string, line int, token string"
 
@@ -45,7 +46,7 @@ def syntax_verdicts(files: DataFrame, contents: DataFrame) -> DataFrame:
     Null contents and unknown extensions give no row. An empty text is valid
     where the language allows it (Go demands a package clause).
     """
-    return source_files(files, contents).select("file_id", "path", "project", "language", "content").mapInPandas(_verdicts, VERDICT)
+    return python_rows(source_files(files, contents).select("file_id", "path", "project", "language", "content"), _verdicts, VERDICT)
 
 
 def syntax_rates(verdicts: DataFrame) -> DataFrame:

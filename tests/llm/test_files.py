@@ -177,3 +177,234 @@ def test_files_over_tables(spark, folder):
     assert rows(queries.p6_found(spark, d), "file_id") == [(2,)]
     assert rows(queries.p6_rates(spark, d), "language", "files", "invalid") == [("java", 1, 1), ("python", 2, 0)]
     assert rows(queries.p4_found(spark, d), "file_id", "nl_lang") == [(1, "en")]
+
+
+#: Python statements, right and wrong ones; a line break within one is written \\n.
+STATEMENTS = r"""
+f() = 3
+1 = x
+def f(a, a=1, b): pass
+def f(a, b=1, *, c, d=2, **k): pass
+def f(a, /, b=1, *args, c, **k,): pass
+def f(a=1, /, b=2): pass
+def f(a=1, /, b): pass
+def f(*, **k): pass
+def f(*): pass
+def f(*a: int, b: int = 3) -> x: pass
+def f(/, a): pass
+def f(**k, a): pass
+lambda x, y=1, *z, w, **k: x
+lambda x=1, y: x
+lambda: 0
+x = lambda a: a + 1, 2
+a, *b = c
+*a, = c
+(a, b) = [c, d] = e
+[a, (b, c)] += d
+(a) += 1
+a.b[c].d += 1
+a + b = c
+None = 1
+x: int = 3
+(x): int
+x.y: int
+x, y: int = 3
+for x, y in z: pass
+for x: pass
+for f() in z: pass
+for a.b in z: pass
+for *a, b in z: pass
+del a, b.c, (d, [e])
+del f()
+with a as b, c as d: pass
+with (a as b, c as d): pass
+with (a, b): pass
+with (a): pass
+with a as f(): pass
+with (a as b): pass
+if (x := 3): pass
+if x := 3: pass
+x := 3
+f(x := 3)
+f(a=1, b)
+f(**k, *a)
+f(a=1, *b, **c)
+f(*a, b, c=1)
+f(x for x in y)
+f(x for x in y, 1)
+[x for x in a if b else c]
+[x async for x in a if b if c]
+[y := 1, y**2]
+x[a:b, ::c, *d]
+x[a := 1]
+{**a, 'b': c, **d}
+{*a, b}
+{a: b for a in c}
+print "x"
+async def f(): await x
+class A(B, metaclass=C): pass
+class A[T: int, *U, **V]: pass
+type X[T] = int
+def f[T](x: T) -> T: pass
+try:\n  pass\nexcept* A as b:\n  pass
+try:\n  pass\nexcept (A, B):\n  pass
+try:\n  pass
+match x:\n  case [1, *r] if r: pass\n  case {"a": b, **c}: pass\n  case A(x=1, y=B()) | None: pass\n  case (1 as x): pass\n  case _: pass
+match x:\n  case A(b as c): pass
+return x, *y
+yield
+x = yield y
+x = await y
+@a.b(c)\ndef f(): pass
+@x := y\ndef f(): pass
+raise A from b
+global a, b
+assert x, y
+a if b else c = 3
+x = a if b
+not a = b
+-a = b
+a.b = c = d[1] = 3
+"a" = b
+"a".b = c
+f().x = 3
+f()[1] = 3
+a = b == c = d
+a < b > c
+a is not b
+a not in b
+x = not y
+x = (yield)
+x = [*a, *b]
+x = *a
+x = *a, b
+a: b = yield c
+import a.b as c, d
+from . import x
+from ... import (a as b, c,)
+from .a.b import *
+def f(): return
+if a: b
+else: c
+a; b; c;
+if x:\n pass\nelif y:\n pass\nelse:\n pass
+while x: break
+f(a)(b)[c].d
+x = f"{a}" "b"
+...
+a = ...
+... = a
+def f(a: int = 1, *b: str, c: bool = True, **d: x): pass
+f(a.b=1)
+f(a=)
+f(,)
+f(a,,b)
+(a, b
+a = [1, 2
+def f(a b): pass
+def f(a,,b): pass
+class A: x: int; y = 2
+print(*a, sep="")
+@x
+lambda *, a: a
+lambda *: a
+lambda *a, b=1: a
+lambda a, /, b: a
+x = a @ b
+x @= b
+x **= 2
+x //= 2
+a ** -b
+a --b
+a ++ b
+a = b,
+a, = b
+() = a
+[] = a
+a.b: c
+a[b]: c = d
+(a, b): c
+for x in *a, b: pass
+for x in a if b else c: pass
+exec "x"
+x = 1 if 2 else 3 if 4 else 5
+x = lambda: (yield)
+def f(x=lambda a, b=1: a): pass
+{a: b, c}
+{a, b: c}
+[a for b in c for d in e if f]
+(a for b in c)
+a[b for b in c]
+a[1:2, 3]
+a[]
+a()
+a(**b)
+async for x in y: pass
+async x
+await x
+nonlocal a
+"""
+
+
+def test_python_statements_against_its_own_parser():
+    import ast
+    import warnings
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        for line in STATEMENTS.strip().split("\n"):
+            text = line.replace("\\n", "\n") + "\n"
+            try:
+                ast.parse(text)
+                right = True
+            except SyntaxError:
+                right = False
+            assert (syntax.parse_verdict(text, "python")[0] is None) == right, text
+
+
+def test_deep_nesting_is_parsed_on_an_own_stack():
+    text = "def f(a=" + "(" * 20_000 + ")" * 20_000 + "):\n    'one two three'\n\n\ndef g():\n    'four five'\n"
+    assert docs.documentation(text, "python", [1, 5]) == {1: "'one two three'", 5: "'four five'"}
+    g = PackratGrammar("List <- ~'\\(' (List | Word)* !Word ~'\\)'?\nWord <- ~'[a-z]+ ?' &Any\nAny <- ~'[\\s\\S]'")
+    for text in ("(a (b c) d)", "(a (b", "x", "()", "((a) b) c"):
+        def told(parse, text=text):
+            seen = []
+            return parse(text, "List", {"Word": lambda a, b: seen.append((a, b))}, {}), seen
+
+        fast, words = told(g.parse)
+        deep = g._parse_deep(text, "List", {"Word": None}, {})
+        assert (deep[0] if deep else None) == fast and [(a, b) for _, a, b in (deep[1] if deep else ())] == words
+
+
+def test_attribute_marks_can_be_unspecified_and_the_newest_file_counts(spark, make):
+    import datetime as dt
+
+    from codestrata.session import Stage
+    from tests.conftest import T0
+
+    a = origin.Attributes([("", "*.js generated\nkeep.js !generated\nno.js -generated\nlib/ vendored\n")])
+    assert a.marks("a.js") == {"generated": True} and a.marks("keep.js") == {} and a.marks("no.js") == {"generated": False} and a.marks("lib/x.c") == {}
+    files = make("files", [{"file_id": i, "path": p, "name": p, "project": "p"} for i, p in enumerate(["p/.gitattributes", "p/a.py", "p/b.py"])])
+    contents = make("file_contents", [{"file_id": 0, "content": "a.py generated\n", "loaded_at": T0}, {"file_id": 0, "content": "b.py generated\n", "loaded_at": T0 + dt.timedelta(hours=1)},
+                                      {"file_id": 1, "content": "x = f(1)\n"}, {"file_id": 2, "content": "y = g(2)\n"}])
+    for most in (origin.MAX_BROADCAST_RULES, 0):
+        origin.MAX_BROADCAST_RULES, kept = most, origin.MAX_BROADCAST_RULES
+        try:
+            assert rows(origin.machine_made(files, contents, Stage(spark, "p1")), "file_id") == [(2,)]
+        finally:
+            origin.MAX_BROADCAST_RULES = kept
+
+
+def test_short_packed_and_data_files():
+    assert origin.evidence("[1,2,3,\n4,5,6]\n", "py")[0] == "data"
+    assert origin.evidence("a=1;b=2;function f(){g();h();}if(a){b;c;}for(;;){d;}", "js")[0] == "minified"
+    assert origin.evidence("const a = 1;\nfunction f() {\n  return a;\n}\n", "js")[0] is None and origin.evidence("", "js")[0] is None
+
+
+def test_docstrings_of_files_without_content(spark, make):
+    files = make("files", [{"file_id": i, "path": f"p/{i}.cpp", "name": "x", "project": "p"} for i in (1, 2, 3)])
+    contents = make("file_contents", [{"file_id": 1, "content": "// this comment has words enough for running text\n# define X\n# include <y>\nint a;\n"}, {"file_id": 3, "content": None}])
+    documents = make("documents", [{"doc_id": 1, "text": "the loader keeps the list of files and drops what is not used", "lang": "en"}, {"doc_id": 2, "text": "der Leser behält die Liste der Dateien", "lang": "de"}])
+    told = spark.createDataFrame([(1, "'the reader keeps all of the files'"), (2, "'the reader keeps all of the files'"), (3, None), (9, "'the reader keeps all of the files'")], "file_id long, docstring string")
+    got = natural.natural_language(files, contents, documents, told)
+    assert [(r.file_id, r.nl_lang, r.file_bytes is None) for r in got.orderBy("file_id").collect()] == [(1, "en", False), (2, "en", True)]
