@@ -55,6 +55,10 @@ STRINGS = {
     "rust": r'b?r(?P<hashes>\#*)"[\s\S]*?"(?P=hashes)|[bc]?"(?:[^"\\]|\\[\s\S])*"|b?' + r"'(?:[^'\\\n]|\\[^\n]{1,10}?)'",
     "csharp": rf'"""[\s\S]*?"""|(?:\$@|@\$|@)"(?:[^"]|"")*"|\$?{_QUOTED}|{_TICKED}',
 }
+#: How a string with letters before its quotes begins, as what a word may not begin with.
+_STRING_START = dict.fromkeys(LANGUAGES.values(), "") | {
+    "python": r"(?![rRuUbBfFtT]{1,2}[\"'])", "c": r"(?!(?:u8|[uUL])\"|[uUL]')", "rust": r"(?!b?r\#*\"|[bc]\"|b')", "csharp": r"(?![$@]+\")",
+}
 _NUMBER = r"(?:0[xX][0-9a-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*(?:\.\d[\d_]*|\.(?![.\w]))?|\.\d[\d_]*)(?:[eE][+-]?\d+)?)[A-Za-z0-9_]*"
 _OPERATORS = (
     r"\.\.\.|\.\.=|>>>=|<<=|>>=|\*\*=|//=|&&=|\|\|=|\?\?=|===|!==|&\^=|->|=>|::|:=|\+\+|--|<-|&&|\|\||\?\?|\?\.|\.\.|==|!=|<=|>=|"
@@ -68,11 +72,13 @@ SIGNS = frozenset("+ -".split())
 
 @lru_cache(maxsize=None)
 def _pattern(language: str) -> re.Pattern:
+    word = r"[@$]?[^\W\d]\w*" if language == "csharp" else r"[^\W\d][\w$]*|\$[\w$]*"
+    # words are the most frequent tokens and are tried early, unless they begin a string
     parts = [
-        ("space", r"[ \t\f\v\xa0​]+|\\\n"), ("line", r"\n"),
+        ("space", r"[ \t\f\v\xa0​]+|\\\n"), ("word", f"{_STRING_START[language]}(?:{word})"), ("line", r"\n"),
         ("comment", COMMENTS.get(language, _SLASHES)), ("string", STRINGS[language]),
-        ("number", _NUMBER), ("word", r"[@$]?[^\W\d]\w*" if language == "csharp" else r"[^\W\d][\w$]*|\$[\w$]*"),
-        ("operator", _OPERATORS), ("other", r"[\s\S]"),
+        ("number", _NUMBER),
+        ("operator", _OPERATORS), ("loose", word), ("other", r"[\s\S]"),
     ]
     if language == "python":
         # // and the prefix operators of other languages would hide Python's own tokens
@@ -83,7 +89,7 @@ def _pattern(language: str) -> re.Pattern:
     if language == "c":
         parts.insert(2, ("directive", r"(?<![^\n])[ \t]*\#(?:\\\n|[^\n])*"))
     if language == "rust":
-        parts.insert(4, ("lifetime", r"'[^\W\d]\w*(?!')"))
+        parts.insert(5, ("lifetime", r"'[^\W\d]\w*(?!')"))
     return re.compile("|".join(f"(?P<{k}>{v})" for k, v in parts))
 
 
@@ -92,28 +98,39 @@ def plain_text(content: str) -> str:
     return content.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
 
 
+#: Groups within a pattern, and what they are part of.
+_SAME_KIND = {"hashes": "string", "loose": "word"}
+_CLOSING, _BEFORE_VALUE = frozenset(")]}"), frozenset(("return", "typeof", "case", "in", "of"))
 _REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[a-z]*")
 
 
 def tokens(text: str, language: str) -> Iterator[tuple[str, str, int]]:
     """(kind, text, offset) of every token, spaces and comments included."""
-    pattern, at, value = _pattern(language), 0, False
-    scripted = language in ("javascript", "typescript")
-    while at < len(text):
-        m = None
-        if scripted and not value and text[at] == "/":
-            m = _REGEX.match(text, at)
-        kind = "string" if m else None
-        if m is None:
-            m = pattern.match(text, at)
+    pattern = _pattern(language)
+    if language not in ("javascript", "typescript"):
+        for m in pattern.finditer(text):
             kind = m.lastgroup
-            if kind == "hashes":
-                kind = "string"
-        body = m.group()
-        yield kind, body, at
-        if kind not in ("space", "line", "comment"):
-            value = kind in ("number", "string") or body in ")]}" or (kind == "word" and body not in ("return", "typeof", "case", "in", "of"))
-        at = m.end()
+            yield _SAME_KIND.get(kind, kind), m.group(), m.start()
+        return
+    # a slash begins a regular expression where no value stands before it
+    at, value = 0, False
+    while at < len(text):
+        for m in pattern.finditer(text, at):
+            kind, body, start = m.lastgroup, m.group(), m.start()
+            if body[0] == "/" and kind == "operator" and not value and (m := _REGEX.match(text, start)):
+                yield "string", m.group(), start
+                value = True
+                at = m.end()
+                break
+            yield _SAME_KIND.get(kind, kind), body, start
+            if kind == "operator":
+                value = body in _CLOSING
+            elif kind == "word":
+                value = body not in _BEFORE_VALUE
+            elif kind == "number" or kind == "string":
+                value = True
+        else:
+            return
 
 
 def _words(language: str) -> frozenset[str]:
