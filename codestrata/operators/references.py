@@ -7,12 +7,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codestrata.session import Stage, python_rows
 from codestrata.sources.tables import dotted
 
-#: Bits and probes of the parent-key filter. 2**26 bits are 8 MB, which bounds what is
-#: broadcast; beyond about five million keys more references pass, and the exact join settles them.
+#: Bits and probes of the parent-key filter. 2**26 bits are 8 MB, which bounds what is broadcast
+#: at once; more keys than fit (5.6 million) are split into shards, each with a filter of its own.
 MAX_FILTER_BITS = 1 << 26
-FILTER_PROBES = 5
+BITS_PER_KEY, FILTER_PROBES = 12, 5
 RECEIVERS = ("self", "this")
 
 
@@ -81,9 +82,9 @@ def call_links(edges: DataFrame, functions: DataFrame) -> DataFrame:
 
 
 def filter_size(keys: int) -> int:
-    """Bits of the filter: 12 a key, a power of two, at most MAX_FILTER_BITS."""
+    """Bits of the filter: BITS_PER_KEY a key, a power of two, at most MAX_FILTER_BITS."""
     bits = 1 << 13
-    while bits < 12 * keys and bits < MAX_FILTER_BITS:
+    while bits < BITS_PER_KEY * keys and bits < MAX_FILTER_BITS:
         bits *= 2
     return bits
 
@@ -114,7 +115,7 @@ def key_filter(keys: DataFrame, bits: int) -> bytes:
         yield pd.DataFrame({"word": touched.astype(np.int64), "value": own[touched].view(np.int64)})
 
     rows = (
-        keys.where("key is not null").select("key").mapInPandas(words, "word long, value long")
+        python_rows(keys.where("key is not null").select("key"), words, "word long, value long")
         .groupBy("word").agg(F.bit_or("value").alias("value"))
     )
     table = np.zeros(bits // 64, dtype=np.int64)
@@ -138,7 +139,33 @@ def passes_filter(spark, filter_bytes: bytes, bits: int):
     return may_contain
 
 
-def orphan_keys(refs: DataFrame, parents: DataFrame) -> DataFrame:
+def maybe_known(refs: DataFrame, column: str, keys: DataFrame, stage: Stage) -> DataFrame:
+    """``refs`` with ``_maybe``: whether the hash in ``column`` (LONG, not null) may be one of ``keys`` (column ``key``).
+
+    False is proof that it is not. Bits follow the keys: where they need more than
+    MAX_FILTER_BITS, keys and references are split by hash, once, and each
+    shard's references meet the filter of its own keys.
+    """
+    spark = refs.sparkSession
+    count = keys.count()
+    shards = max(1, -(-count * BITS_PER_KEY // MAX_FILTER_BITS))
+    bits = filter_size(-(-count // shards))
+    if shards == 1:
+        return refs.withColumn("_maybe", passes_filter(spark, key_filter(keys, bits), bits)(F.col(column)))
+    # the filters take their positions from the low and high bits, so the shard is drawn from a hash of its own
+    shard = lambda c: F.pmod(F.hash(c), F.lit(shards)).alias("_shard")
+    keys = stage.keep(keys.select("key", shard("key")), by="_shard")
+    names = refs.columns
+    refs = stage.keep(refs.select("*", shard(column)), by="_shard")
+    out = None
+    for i in range(shards):
+        may = passes_filter(spark, key_filter(keys.where(F.col("_shard") == i), bits), bits)
+        part = refs.where(F.col("_shard") == i).select(*names).withColumn("_maybe", may(F.col(column)))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def orphan_keys(refs: DataFrame, parents: DataFrame, stage: Stage | None = None) -> DataFrame:
     """The rows of ``refs`` none of whose ``probes`` is a key of ``parents``.
 
     ``refs`` has the array column ``probes`` of LONG hashes and ``exact``, an
@@ -147,11 +174,10 @@ def orphan_keys(refs: DataFrame, parents: DataFrame) -> DataFrame:
     every probe are orphans without any join; only those that pass are verified
     by an exact anti-join. Every row of ``refs`` must have a unique ``ref_id``.
     """
-    spark = refs.sparkSession
-    bits = filter_size(parents.count())
-    may = passes_filter(spark, key_filter(parents, bits), bits)
+    stage = stage or Stage(refs.sparkSession, "orphans")
     probed = refs.select("ref_id", F.explode_outer(F.arrays_zip("probes", "exact")).alias("p"))
-    suspects = probed.where("p is not null").select("ref_id", "p.probes", "p.exact").where(may(F.col("probes")))
+    asked = probed.where("p is not null").select("ref_id", "p.probes", "p.exact")
+    suspects = maybe_known(asked, "probes", parents, stage).where("_maybe")
     real = suspects.join(parents.select("exact").distinct(), "exact", "left_semi").select("ref_id").distinct()
     return refs.join(real, "ref_id", "left_anti")
 
@@ -176,10 +202,8 @@ def orphan_references(edges: DataFrame, functions: DataFrame, classes: DataFrame
 
     # caller_func_id: the filter proves most orphans; the join settles the others and finds each caller's project.
     func = stage.keep(functions.select("func_id", "project", "file_id", "name", "qualified_name"))
-    bits = filter_size(func.count())
-    ids = func.select(F.xxhash64("func_id").alias("key"))
-    may = passes_filter(edges.sparkSession, key_filter(ids, bits), bits)
-    flagged = edge.where("caller_func_id is not null").withColumn("_maybe", may(F.xxhash64("caller_func_id")))
+    called = edge.where("caller_func_id is not null").withColumn("_hash", F.xxhash64("caller_func_id"))
+    flagged = maybe_known(called, "_hash", func.select(F.xxhash64("func_id").alias("key")), stage)
     callers = func.select(
         F.col("func_id").alias("caller_func_id"), "project", "file_id",
         caller_class(F.col("qualified_name")).alias("owner"),
@@ -231,7 +255,7 @@ def orphan_references(edges: DataFrame, functions: DataFrame, classes: DataFrame
     parents = referable(func).select(key.alias("exact")).distinct().withColumn("key", F.xxhash64("exact"))
     exact = F.transform(name_probes(F.col("callee_name"), F.col("owner")), lambda q: F.concat_ws("\x00", F.col("project"), q))
     probes = candidates.withColumn("exact", exact).withColumn("probes", F.transform("exact", lambda x: F.xxhash64(x)))
-    orphans = orphan_keys(probes, parents).select(*[F.col(c).alias(f"_{c}") for c in spelling])
+    orphans = orphan_keys(probes, parents, stage).select(*[F.col(c).alias(f"_{c}") for c in spelling])
     match = (F.col("project") == F.col("_project")) & (F.col("file_id") == F.col("_file_id")) & (
         F.col("callee_name") == F.col("_callee_name")) & F.col("owner").eqNullSafe(F.col("_owner"))
     dead_callees = live.join(orphans, match, "left_semi").select("edge_id", F.lit("callee_name").alias("ref_field"), "period")

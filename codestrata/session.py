@@ -57,10 +57,11 @@ class Stage:
             atexit.register(release, spark)
         context._codestrata_roots.append(self.root)
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, by: str | None = None) -> DataFrame:
+        """``df`` written and read back; ``by`` names a column of few values that gets a folder for each."""
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._stage_path = path
         return kept

@@ -94,3 +94,15 @@ def test_p5_report(spark, orphan_folder):
 def test_positions_lie_within_the_filter(parts):
     at = R._positions(np.array([hash(tuple(parts))], dtype=np.int64), 1 << 13)
     assert at.shape == (R.FILTER_PROBES, 1) and ((0 <= at) & (at < 1 << 13)).all()
+
+
+def test_sharded_filter_proves_most_and_loses_nothing(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from codestrata.session import Stage
+
+    monkeypatch.setattr(R, "MAX_FILTER_BITS", 1 << 13)
+    keys = spark.range(3000).select(F.xxhash64("id").alias("key"))
+    refs = spark.range(6000).withColumn("h", F.xxhash64("id"))
+    got = {r.id: r._maybe for r in R.maybe_known(refs, "h", keys, Stage(spark, "shards")).collect()}
+    assert len(got) == 6000 and all(got[i] for i in range(3000)) and sum(got[i] for i in range(3000, 6000)) < 150
