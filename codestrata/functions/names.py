@@ -66,13 +66,14 @@ def refers(callee: Column, callee_spaced: Column, name: Column) -> Column:
 GRAMS = (8, 3, 2, 1)
 
 
-def texts_holding(texts: DataFrame, text: str, words: DataFrame, word: str) -> DataFrame:
+def texts_holding(texts: DataFrame, text: str, words: DataFrame, word: str, on: tuple[str, ...] = ()) -> DataFrame:
     """Rows of ``texts`` joined with the rows of ``words`` whose ``word`` stands in ``text``, as it is spelled.
 
     A word meets the texts by its last 8 characters (the last 3, 2 or 1 of a
     shorter one), whole words are compared after that, so nothing is broadcast
-    and no pair is compared without a run in common. Null and empty words are
-    in no text. The words should be distinct.
+    and no pair is compared without a run in common. ``on`` names columns of
+    both sides that must be equal. Null and empty words are in no text. The
+    words should be distinct.
     """
     size = F.length(word)
     gram = F.lit(None).cast("string")
@@ -82,7 +83,7 @@ def texts_holding(texts: DataFrame, text: str, words: DataFrame, word: str) -> D
     runs = F.flatten(F.array(*[
         F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(F.col(text), i, F.lit(n))))
         .otherwise(F.array().cast("array<string>")) for n in GRAMS]))
-    met = texts.where(F.col(text).isNotNull()).withColumn("_gram", F.explode(F.array_distinct(runs))).join(asked, "_gram")
+    met = texts.where(F.col(text).isNotNull()).withColumn("_gram", F.explode(F.array_distinct(runs))).join(asked, ["_gram", *on])
     return met.where(F.contains(F.col(text), F.col(word))).drop("_gram")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codestrata.functions.names import module_name
+from codestrata.functions.names import module_name, texts_holding
 from codestrata.session import Stage
 
 
@@ -20,23 +20,29 @@ def dependencies(files: DataFrame, imports: DataFrame) -> DataFrame:
 
     An import's source is a module if it equals its name, else by its first
     dotted segment, else the least module whose name contains it or is
-    contained in it. Imports of the own module don't count.
+    contained in it; names meet by runs of characters they share. Imports of
+    the own module don't count.
     """
     named = files.withColumn("module", module_name(F.col("path"))).where("module is not null")
-    names = named.groupBy("project").agg(F.array_sort(F.collect_set("module")).alias("names"))
+    names = named.select("project", "module").distinct()
     own = (
         imports.where("source is not null").select("file_id", "source").distinct()
         .join(named.select("file_id", "path", "project", "module"), "file_id")
     )
-    spelled = own.select("project", "source").distinct().join(names, "project")
-    first = F.element_at(F.split("source", r"\."), 1)
-    near = F.filter("names", lambda m: F.contains(F.col("source"), m) | F.contains(m, F.col("source")))
-    target = (
-        F.when(F.array_contains("names", F.col("source")), F.col("source"))
-        .when(F.array_contains("names", first), first)
-        .when(F.size(near) > 0, F.element_at(near, 1))
+    spelled = own.select("project", "source").distinct()
+    first = spelled.withColumn("module", F.element_at(F.split("source", r"\."), 1))
+    plain = spelled.withColumn("module", F.col("source")).withColumn("tier", F.lit(1)).unionByName(first.withColumn("tier", F.lit(2)))
+    plain = plain.join(names, ["project", "module"], "left_semi").groupBy("project", "source").agg(
+        F.min_by("module", "tier").alias("to_module"))
+    rest = spelled.join(plain, ["project", "source"], "left_anti")
+    # an empty name stands in every other
+    least = names.groupBy("project").agg(F.min("module").alias("module"))
+    near = (
+        texts_holding(rest, "source", names, "module", ("project",)).select("project", "source", "module")
+        .unionByName(texts_holding(names, "module", rest, "source", ("project",)).select("project", "source", "module"))
+        .unionByName(rest.join(least, "project").where("source = '' or module = ''").select("project", "source", "module"))
     )
-    resolved = spelled.select("project", "source", target.alias("to_module")).where("to_module is not null")
+    resolved = plain.unionByName(near.groupBy("project", "source").agg(F.min("module").alias("to_module")))
     return (
         own.join(resolved, ["project", "source"]).where("module <> to_module")
         .groupBy("project", F.col("module").alias("from_module"), "to_module")

@@ -24,3 +24,19 @@ def test_cycle_of_six_modules_and_all_shorter_ones(spark):
 def test_no_dependencies_no_cycles(spark):
     deps = spark.createDataFrame([], "project string, from_module string, to_module string, details long")
     assert modules.cycles(deps, Stage(spark, "cycles")).collect() == []
+
+
+def test_imports_resolve_exactly_then_by_segment_then_by_part(spark, make):
+    paths = ["p/core/a.py", "p/io/b.py", "p/storage/c.py", "p/core_x/d.py", "q/core/e.py", "p/lone/f.py", "/g.py"]
+    files = make("files", [{"file_id": i, "path": p, "name": p, "project": p[0] if p[0] != "/" else "p"} for i, p in enumerate(paths)])
+    sources = ["io", "core.deep.io", "x.storage.y", "stor", "nothing", "cor", None, "core", "io"]
+    imports = make("imports", [{"import_id": i, "file_id": 5, "source": s} for i, s in enumerate(sources)] + [{"import_id": 50, "file_id": 4, "source": "io"}])
+    want = {}
+    modules_of_p = sorted({"core", "io", "storage", "core_x", "lone", ""})
+    for s in {s for s in sources if s is not None}:
+        near = [m for m in modules_of_p if m in s or s in m]
+        target = s if s in modules_of_p else s.split(".")[0] if s.split(".")[0] in modules_of_p else near[0] if near else None
+        if target is not None and target != "lone":
+            want[target] = want.get(target, 0) + 1
+    got = rows(modules.dependencies(files, imports), "project", "from_module", "to_module", "details")
+    assert got == sorted((("p", "lone", t, n) for t, n in want.items()), key=repr)
