@@ -71,7 +71,10 @@ class Bound:
         return modules.dependencies(self.graph.files, self.graph.imports)
 
     def impact_of(self, sources: DataFrame) -> DataFrame:
-        return impact.impact(self.sites, sources, Stage(self.spark, "impact"))
+        return self.reach(sources).places()
+
+    def reach(self, sources: DataFrame) -> impact.Impact:
+        return impact.Impact(self.sites, sources, Stage(self.spark, "impact"))
 
     def answers(self) -> DataFrame:
         """item_id, question and an answer that cites the place of the expected function."""
@@ -317,7 +320,7 @@ def _removed(b: Bound) -> DataFrame:
 def _related(b: Bound) -> DataFrame:
     """Impact of every function whose name contains the word: callers and the levels they are reached at."""
     sources = b.functions.where(F.contains("name", F.lit(WORD))).select(F.col("qualified_name").alias("source"))
-    return b.impact_of(sources).select("caller", "depth").distinct()
+    return b.reach(sources).depths().select("caller", "depth").distinct()
 
 
 def queries() -> dict:
