@@ -58,3 +58,12 @@ def test_namesakes_are_walked_once(spark):
     assert rows.count() <= 2 * len(sites) and steps.count() == 2
     assert impact.rows.select(key_depth("key").alias("depth")).where("depth not between 1 and 4").count() == 0
     assert impact.rows.count() == sum(len(walked(sites, f"{o}.{m}")) for o in owners for m in ("put", "peek"))
+
+
+def test_reached_rows_are_not_shuffled(spark):
+    sites = spark.createDataFrame([("a.put", "B.put", "a.py", 1), ("fold", "a.put", "b.py", 2)], SITES)
+    asked = spark.createDataFrame([("fold",), ("C.put",)], "source string")
+    depths = Impact(sites, asked, Stage(spark, "impact")).depths()
+    # what is brought together lies by caller, and neither grouping nor the join with the sources moves it again
+    assert depths._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, depths.collect())) == [("C.put", "B.put", 1), ("fold", "B.put", 2), ("fold", "a.put", 1)]
