@@ -67,3 +67,15 @@ def test_reached_rows_are_not_shuffled(spark):
     # what is brought together lies by caller, and neither grouping nor the join with the sources moves it again
     assert depths._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert sorted(map(tuple, depths.collect())) == [("C.put", "B.put", 1), ("fold", "B.put", 2), ("fold", "a.put", 1)]
+
+
+#: Two sources of one segment that come back to themselves, alone in their files or not, and a file that is not known.
+LOOPED = [("x.put", "A.put", "a.py", 1), ("x.put", "B.put", "b.py", 2), ("A.put", "C.peek", "b.py", 3), ("y.put", "fold", None, 4), ("fold", "D.rank", "d.py", 5)]
+CHANGED = ["A.put", "B.put", "fold", "Z.put", "D.rank"]
+
+
+def test_review_lists_leave_out_the_source_itself(spark):
+    impact = Impact(spark.createDataFrame(LOOPED, SITES), spark.createDataFrame([(n,) for n in CHANGED], "source string"), Stage(spark, "impact"))
+    every = [row for n in CHANGED for row in walked(LOOPED, n)]
+    assert sorted(map(tuple, impact.direct_callers().collect())) == sorted({r[:2] for r in every if r[2] == 1})
+    assert sorted(map(tuple, impact.reached_files().collect())) == sorted({(r[0], r[3]) for r in every if r[3]})
