@@ -79,3 +79,12 @@ def test_review_lists_leave_out_the_source_itself(spark):
     every = [row for n in CHANGED for row in walked(LOOPED, n)]
     assert sorted(map(tuple, impact.direct_callers().collect())) == sorted({r[:2] for r in every if r[2] == 1})
     assert sorted(map(tuple, impact.reached_files().collect())) == sorted({(r[0], r[3]) for r in every if r[3]})
+
+
+def test_review_counts_leave_out_the_source_itself(spark):
+    impact = Impact(spark.createDataFrame(LOOPED, SITES), spark.createDataFrame([(n,) for n in CHANGED], "source string"), Stage(spark, "impact"))
+    want = []
+    for n in CHANGED:
+        if reached := walked(LOOPED, n):
+            want.append((n, sum(r[2] == 1 for r in reached), len(reached), len({r[3] for r in reached if r[3]})))
+    assert sorted(map(tuple, impact.counts().collect())) == sorted(want)
