@@ -64,16 +64,25 @@ def refers(callee: Column, callee_spaced: Column, name: Column) -> Column:
 
 #: Lengths of the character runs by which a text and the words in it meet.
 GRAMS = (8, 3, 2, 1)
+#: Bytes of words, at most, that are broadcast to the texts; a row counts ROW_BYTES besides its word.
+MAX_BROADCAST_WORDS, ROW_BYTES = 8 << 20, 64
+
+
+def handed_out(words: DataFrame, word: str) -> DataFrame:
+    """``words``, marked to be broadcast if they are few. They are read for this once, so they should be cheap to make."""
+    size = words.agg(F.sum(F.octet_length(word) + ROW_BYTES)).first()[0] or 0
+    return F.broadcast(words) if size <= MAX_BROADCAST_WORDS else words
 
 
 def texts_holding(texts: DataFrame, text: str, words: DataFrame, word: str, on: tuple[str, ...] = ()) -> DataFrame:
     """Rows of ``texts`` joined with the rows of ``words`` whose ``word`` stands in ``text``, as it is spelled.
 
     A word meets the texts by its last 8 characters (the last 3, 2 or 1 of a
-    shorter one), whole words are compared after that, so nothing is broadcast
-    and no pair is compared without a run in common. ``on`` names columns of
-    both sides that must be equal. Null and empty words are in no text. The
-    words should be distinct.
+    shorter one), whole words are compared after that, so no pair is compared
+    without a run in common. Spark takes the runs of a text for one row of its
+    size and would broadcast them, so a merge join is asked for; words that are
+    marked to be broadcast are. ``on`` names columns of both sides that must be
+    equal. Null and empty words are in no text. The words should be distinct.
     """
     size = F.length(word)
     gram = F.lit(None).cast("string")
@@ -83,7 +92,7 @@ def texts_holding(texts: DataFrame, text: str, words: DataFrame, word: str, on:
     runs = F.flatten(F.array(*[
         F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(F.col(text), i, F.lit(n))))
         .otherwise(F.array().cast("array<string>")) for n in GRAMS]))
-    met = texts.where(F.col(text).isNotNull()).withColumn("_gram", F.explode(F.array_distinct(runs))).join(asked, ["_gram", *on])
+    met = texts.where(F.col(text).isNotNull()).withColumn("_gram", F.explode(F.array_distinct(runs))).hint("merge").join(asked, ["_gram", *on])
     return met.where(F.contains(F.col(text), F.col(word))).drop("_gram")
 
 

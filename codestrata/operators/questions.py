@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codestrata.functions.names import base_name, texts_holding
+from codestrata.functions.names import base_name, handed_out, texts_holding
 from codestrata.operators.store import newest_contents
 from codestrata.operators.vectors import nearest
 from codestrata.session import Stage
@@ -89,7 +89,7 @@ def question_functions(items: DataFrame, functions: DataFrame) -> DataFrame:
     words = asked.select(F.lower("word").alias("low")).distinct()
     named = functions.where("qualified_name is not null").groupBy(F.lower("qualified_name").alias("q")).agg(
         F.min(F.struct("path", "start_line", "func_id", "qualified_name")).alias("best"))
-    hit = texts_holding(named, "q", words, "low").groupBy("low").agg(F.min("best").alias("best"))
+    hit = texts_holding(named, "q", handed_out(words, "low"), "low").groupBy("low").agg(F.min("best").alias("best"))
     return (
         asked.join(hit, F.lower("word") == F.col("low"))
         .groupBy("item_id").agg(F.min(F.struct("at", F.col("best.qualified_name").alias("name"))).alias("m"))
@@ -194,11 +194,13 @@ def citation_gate(answers: DataFrame, paths: DataFrame) -> DataFrame:
 
     A citation's file is valid if it stands in a known path, as the whole, the
     base name or any other part of it. A claim with any bad citation is caught,
-    claims without citations count for neither side.
+    claims without citations count for neither side. The cited files are few
+    and kept, so the runs of the paths need not be shuffled to meet them.
     """
-    cited = cited_files(claims(answers).where("not speculative"))
+    cited = cited_files(claims(answers).where("not speculative")).select("item_id", "claim_no", "file")
+    cited = Stage(answers.sparkSession, "citations").keep(cited)
     asked = cited.select("file").distinct()
-    known = texts_holding(paths.select("path").distinct(), "path", asked, "file").select("file").distinct().withColumn("valid", F.lit(1))
+    known = texts_holding(paths.select("path").distinct(), "path", handed_out(asked, "file"), "file").select("file").distinct().withColumn("valid", F.lit(1))
     judged = cited.join(known, "file", "left").groupBy("item_id", "claim_no").agg(F.count_if(F.col("valid").isNull()).alias("bad"))
     sums = judged.groupBy("item_id").agg(F.count_if(F.col("bad") == 0).alias("verified"), F.count_if(F.col("bad") > 0).alias("caught"))
     zero = lambda c: F.coalesce(c, F.lit(0))

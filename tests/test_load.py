@@ -2,9 +2,12 @@
 
 import datetime as dt
 import os
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from codestrata.functions import names
 from codestrata.functions.names import texts_holding
 from codestrata.operators import diff, load, lookup, vectors
 from codestrata.operators import questions as Q
@@ -43,6 +46,40 @@ def test_texts_holding_words_of_any_length(spark):
     assert rows(texts_holding(t, "text", w, "word"), "text", "word") == want
 
 
+def broadcast_runs(df):
+    """Whether the plan that ran broadcasts the runs of a text, not what is joined or summed up from them."""
+    df.collect()
+    inside = False
+    for line in df._jdf.queryExecution().executedPlan().toString().split("\n"):
+        if inside and "explode(array_distinct(flatten(" in line:
+            return True
+        inside = "BroadcastExchange" in line or (inside and not re.search("Join|Aggregate|Scan|Range", line))
+    return False
+
+
+def test_runs_of_few_texts_are_not_broadcast(spark):
+    def numbered(n, column):
+        return spark.range(n).select(F.concat(F.lit("src/main/app_"), F.col("id").cast("string")).alias(column))
+
+    words = numbered(40, "word")
+    for asked in (words, F.broadcast(words)):
+        held = texts_holding(numbered(4, "text"), "text", asked, "word")
+        assert rows(held, "text") == [(f"src/main/app_{i}",) for i in range(4)]
+        assert not broadcast_runs(held)
+
+
+@pytest.mark.parametrize("most", [0, 8 << 20])
+def test_citation_gate_broadcasts_no_runs(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(names, "MAX_BROADCAST_WORDS", most, raising=False)
+    spark.createDataFrame([(1, "q", "ok [a.py:3]\nbad [zz.py]\nno citation\n推测 [zz.py]"), (2, "q", ""), (3, "q", "[p/a] [a.py]"), (4, "q", None)],
+                          "item_id long, question string, answer string").write.parquet(f"{tmp_path}/answers")
+    spark.createDataFrame([("p/a.py",), ("p/b.py",)], "path string").write.parquet(f"{tmp_path}/paths")
+    gate = Q.citation_gate(spark.read.parquet(f"{tmp_path}/answers"), spark.read.parquet(f"{tmp_path}/paths"))
+    assert rows(gate, "item_id", "verified", "caught", "confidence", "passed") == [
+        (1, 1, 1, 0.5, True), (2, 0, 0, 1.0, True), (3, 1, 0, 1.0, True), (4, 0, 0, 1.0, True)]
+    assert not broadcast_runs(gate)
+
+
 def test_callers_bind_exactly_then_by_suffix(spark):
     functions = spark.createDataFrame([
         (1, "f", "A.go", "A", 1), (2, "f", "B.go", "B", 9), (3, "f", "go", None, 20), (4, "f", "A.run", "A", 5), (5, "f", "A.run", "A", 7), (6, "g", "C.stop", "C", 1), (7, None, "x", None, 1)],
