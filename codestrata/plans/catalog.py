@@ -79,7 +79,8 @@ class Bound:
     def answers(self) -> DataFrame:
         """item_id, question and an answer that cites the place of the expected function."""
         items = table(self.spark, self.folder, "eval_items")
-        at = self.functions.groupBy("name").agg(F.min(F.struct("path", "start_line", "func_id")).alias("at"))
+        # without the texts of self.functions, which settle no tie of what is taken here
+        at = self.graph.latest_functions().groupBy("name").agg(F.min(F.struct("path", "start_line", "func_id")).alias("at"))
         cited = F.concat(F.lit("\n见 ["), F.col("at.path"), F.lit(":"), F.col("at.start_line").cast("string"), F.lit("]"))
         return items.join(at, items.expected_target == at.name, "left").select(
             "item_id", "question", F.concat(F.coalesce("passage", F.lit("")), F.coalesce(cited, F.lit(""))).alias("answer"))

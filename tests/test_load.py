@@ -11,6 +11,7 @@ from codestrata.functions import names
 from codestrata.functions.names import texts_holding
 from codestrata.operators import diff, load, lookup, vectors
 from codestrata.operators import questions as Q
+from codestrata.plans import catalog
 from codestrata.session import Stage, release
 from codestrata.streaming import changes
 from tests.conftest import T0, rows
@@ -165,3 +166,14 @@ def test_release_deletes_the_tables_of_runs(spark):
     assert os.path.isdir(stage.root)
     release(spark)
     assert not os.path.isdir(stage.root)
+
+
+def test_answers_carry_no_docstrings(spark, folder):
+    at = dict(snapshot_no=1, name="go", file_id=1, start_line=3, end_line=4)
+    d = folder(
+        files=[{"file_id": 1, "path": "p/a.py", "name": "a.py", "project": "p"}],
+        functions=[at | {"func_id": 1, "qualified_name": "go", "docstring": x, "class_name": x} for x in ("x", "y", None)] + [at | {"func_id": 2, "qualified_name": "A.go", "start_line": 2}],
+        eval_items=[{"item_id": 1, "question": "q", "expected_target": "go", "passage": "so"}, {"item_id": 2, "question": "q", "expected_target": "gone"}])
+    answers = catalog.Bound(spark, d).answers()
+    assert rows(answers, "item_id", "answer") == [(1, "so\n见 [p/a.py:2]"), (2, "")]
+    assert "docstring" not in answers._jdf.queryExecution().executedPlan().toString()
