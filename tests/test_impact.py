@@ -88,3 +88,25 @@ def test_review_counts_leave_out_the_source_itself(spark):
         if reached := walked(LOOPED, n):
             want.append((n, sum(r[2] == 1 for r in reached), len(reached), len({r[3] for r in reached if r[3]})))
     assert sorted(map(tuple, impact.counts().collect())) == sorted(want)
+
+
+def test_call_sites_are_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    sites = spark.createDataFrame(LOOPED, SITES).mapInPandas(counted, SITES)
+    impact = Impact(sites, spark.createDataFrame([("A.put",)], "source string"), Stage(spark, "impact"))
+    assert impact.calls.count() == len(LOOPED) and read.value == len(LOOPED)
+
+
+def test_groups_meet_callers_as_numbers(spark):
+    impact = Impact(spark.createDataFrame(LOOPED, SITES), spark.createDataFrame([(n,) for n in CHANGED], "source string"), Stage(spark, "impact"))
+    depths = impact.depths()
+    plan = depths._jdf.queryExecution().executedPlan().toString()
+    # the one aggregate of groups and callers is gone: no pair is a row before it is a row of the result's group
+    assert "MapInArrow" in plan and "HashAggregate" not in plan
+    assert sorted(map(tuple, depths.collect())) == sorted(row[:3] for n in CHANGED for row in walked(LOOPED, n))
