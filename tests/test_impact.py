@@ -3,6 +3,10 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+
+from codestrata.operators import impact
 from codestrata.operators.impact import Impact, key_depth
 from codestrata.session import Stage
 
@@ -110,3 +114,30 @@ def test_groups_meet_callers_as_numbers(spark):
     # the one aggregate of groups and callers is gone: no pair is a row before it is a row of the result's group
     assert "MapInArrow" in plan and "HashAggregate" not in plan
     assert sorted(map(tuple, depths.collect())) == sorted(row[:3] for n in CHANGED for row in walked(LOOPED, n))
+
+
+def test_file_bits_of_tasks_and_blocks_add_up(monkeypatch):
+    draw = random.Random(5)
+    steps = np.array([(g, n, draw.randint(0, 3)) for g in (1, 4, 9, 12) for n in draw.sample([1, 4, 7, 9, 12], 3)])
+    rows = [(n, f"c{c}", (draw.randint(1, 4) << impact.DEPTH_SHIFT) + (draw.randint(0, 3) << impact.LINE_BITS) + c) for n in (1, 4, 7, 12) for c in range(20) if draw.random() < 0.6]
+    want = {}
+    for g, n, late in steps.tolist():
+        for node, caller, key in rows:
+            if node == n and (key >> impact.DEPTH_SHIFT) + late <= 4:
+                want[g, caller] = min(want.get((g, caller), 1 << 70), key + (late << impact.DEPTH_SHIFT))
+    monkeypatch.setattr(impact, "BLOCK", len(steps) * 3)
+    parts = []
+    for task in range(3):
+        own = [r for r in rows if int(r[1][1:]) % 3 == task]
+        batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*own)], names=["node", "caller", "key"])
+        parts += [b for b in impact.file_bits([batch.slice(0, 5), batch.slice(5)], steps, 4, 16)]
+    files, bits = {}, lambda x: set(np.flatnonzero(np.unpackbits(np.frombuffer(x, np.uint8), bitorder="little")).tolist())
+    for (g, _), key in want.items():
+        files.setdefault((key >> impact.LINE_BITS) & 3, []).append(g)
+    merged = [b.to_pylist()[0] for b in impact.merged_bits(sorted(parts, key=lambda b: b["file_no"][0].as_py()))]
+    assert [r["file_no"] for r in merged] == [-1, *sorted(f for f in files if f)]
+    for r in merged[1:]:
+        of = files[r["file_no"]]
+        assert bits(r["reached"]) == set(of) and bits(r["shared"]) == {g for g in of if of.count(g) > 1}
+    assert merged[0]["callers"] == [sum(g == k for g, _ in want) for k in range(16)]
+    assert merged[0]["direct"] == [sum(g == k and key >> impact.DEPTH_SHIFT == 1 for (g, _), key in want.items()) for k in range(16)]
