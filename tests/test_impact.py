@@ -141,3 +141,13 @@ def test_file_bits_of_tasks_and_blocks_add_up(monkeypatch):
         assert bits(r["reached"]) == set(of) and bits(r["shared"]) == {g for g in of if of.count(g) > 1}
     assert merged[0]["callers"] == [sum(g == k for g, _ in want) for k in range(16)]
     assert merged[0]["direct"] == [sum(g == k and key >> impact.DEPTH_SHIFT == 1 for (g, _), key in want.items()) for k in range(16)]
+
+
+def test_files_of_groups_are_listed_without_pairs_moved(spark):
+    reached = Impact(spark.createDataFrame(LOOPED, SITES), spark.createDataFrame([(n,) for n in CHANGED], "source string"), Stage(spark, "impact"))
+    files = reached.reached_files()
+    plan = files._jdf.queryExecution().executedPlan().toString()
+    # lists of groups are taken apart last, and what comes from them meets the sources where it lies
+    assert "Generate explode" in plan and "Exchange" not in plan[:plan.index("Generate explode")].replace("BroadcastExchange", "")
+    every = [row for n in CHANGED for row in walked(LOOPED, n)]
+    assert sorted(map(tuple, files.collect())) == sorted({(r[0], r[3]) for r in every if r[3]})
